@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veska.functions.dates import parse_date
+from veska.llm.grade import reading_levels
+from veska.llm.leakage import find_leaks
 from veska.llm.linkage import link_records
 from veska.llm.names import match_names, unmatched
+from veska.llm.packing import pack_documents
 from veska.session import cut, table
 
 
@@ -86,9 +89,35 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_matches(spark, d).select("id_a", "id_b").distinct()
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's place in sequences of 2,048 tokens."""
+    return pack_documents(table(spark, d, "documents"), "doc_id", "text", 2048)
+
+
+def p8_packed_512(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's place in sequences of 512 tokens."""
+    return pack_documents(table(spark, d, "documents"), "doc_id", "text", 512)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that leak passages of test items."""
+    leaks = find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return leaks.select("doc_id", "item_id").distinct()
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The grade of every document."""
+    graded = reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_grades"), "grade")
+    return graded.select("doc_id", "grade").distinct()
+
+
 QUERIES = {
     "p5_found": p5_found,
     "p5_unmatched": p5_unmatched,
     "p7_found": p7_found,
     "p7_matches": p7_matches,
+    "p8_packed": p8_packed,
+    "p8_packed_512": p8_packed_512,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
 }
