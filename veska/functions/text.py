@@ -54,17 +54,19 @@ def located(words: DataFrame, doc_id: str, gazetteer: DataFrame, adjacent: list[
     return hit.where("options = 1").select(doc_id, "code").union(hit.where("options > 1").join(sure, [doc_id, "region"]).select(doc_id, "code")).distinct()
 
 
-def page_items(pages: DataFrame, page_id: str, html: str) -> DataFrame:
-    """(page_id, pos, url, title): links of a page with their text, tags and entities undone."""
-    links = F.regexp_extract_all(html, F.lit(r'(?is)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), F.lit(1))
-    t = pages.select(page_id, F.posexplode(links).alias("pos", "a"))
-    title = F.regexp_replace(F.col("a"), "<[^>]*>", "")
+def page_items(pages: DataFrame, page_id: str, html: str, pattern: str = r'<a\s[^>]*href="([^"]*)"[^>]*>') -> DataFrame:
+    """(page_id, pos, item): what ``pattern`` captures on a page, in order, with tags cut out
+    and entities undone."""
+    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(pattern), F.lit(1))
+    item = F.regexp_replace(F.col("item"), "<[^>]*>", "")
     for entity, char in (("&nbsp;", " "), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        title = F.replace(title, F.lit(entity), F.lit(char))
-    return t.select(page_id, "pos", F.regexp_extract("a", r'href="([^"]*)"', 1).alias("url"), F.trim(title).alias("title"))
+        item = F.replace(item, F.lit(entity), F.lit(char))
+    return pages.select(page_id, F.posexplode(found).alias("pos", "item")).withColumn("item", F.trim(item))
 
 
 def first_seen(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each key; keys with many rows are reduced before they move."""
+    first = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(
+        F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_r")
+    )
+    return first.select("_r.*")

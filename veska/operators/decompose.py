@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from veska.operators.kernels import airline, two_way
 from veska.operators.panel import SERIES
+from veska.session import cut
 
 
 def course(panel: DataFrame, first: int, last: int) -> DataFrame:
@@ -30,7 +31,7 @@ def course_unbalanced(panel: DataFrame, periods: int, rounds: int = 12) -> tuple
     each round one aggregation by series and one by period.  The course (categories x
     periods) is small enough to travel with the plan; the panel itself is never gathered."""
     spark = panel.sparkSession
-    p = panel.where("v is not null").select(*SERIES, "t", F.log("v").alias("y"))
+    p = cut(panel.where("v is not null").select(*SERIES, "t", F.log("v").alias("y")))
     n = {(r["category"], r["t"]): r["n"] for r in p.groupBy("category", "t").agg(F.avg("y").alias("n")).collect()}
     schema = "category string, t int, n double"
     frame = lambda d: spark.createDataFrame([(k[0], k[1], v) for k, v in d.items()], schema)

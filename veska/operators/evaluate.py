@@ -49,7 +49,7 @@ def diebold_mariano(paired: DataFrame, a: str, b: str) -> DataFrame:
     other = u.select(F.col("h").alias("h2"), F.col("k").alias("k2"), F.col("u").alias("u2"))
     lag = F.least(F.col("h") - 1, F.col("T") - 2)
     gap = F.col("k") - F.col("k2")
-    weight = F.when(gap == 0, 1.0).otherwise(2 * (1 - gap / (lag + 1)))
+    weight = F.when(gap == 0, 1.0).otherwise(2 * (1 - gap / F.greatest(lag + 1, F.lit(1))))
     var = (
         u.join(other, (F.col("h") == F.col("h2")) & gap.between(0, F.greatest(lag, F.lit(0))))
         .groupBy("h").agg((F.sum(weight * F.col("u") * F.col("u2")) / F.first("T")).alias("var"), F.first("T").alias("T"))
@@ -57,7 +57,7 @@ def diebold_mariano(paired: DataFrame, a: str, b: str) -> DataFrame:
     mean_s = by_o.groupBy("h").agg(F.avg("s").alias("ms"))
     hac = var.join(mean_s, "h").select("h", "T", (F.col("ms") / F.sqrt(F.greatest("var", F.lit(1e-12)) / F.col("T"))).alias("dm"))
     clusters = d.groupBy("h", "o", "entity").agg(F.sum("dl").alias("g")).groupBy("h").agg(
-        (F.avg("g") / (F.stddev_samp("g") / F.sqrt(F.count("*")))).alias("dm_c"), F.count("*").alias("units_c")
+        F.try_divide(F.avg("g"), F.stddev_samp("g") / F.sqrt(F.count("*"))).alias("dm_c"), F.count("*").alias("units_c")
     )
     means = d.groupBy("h").agg(F.avg("dl").alias("mean_diff"))
     many = F.col("T") >= 4

@@ -105,3 +105,17 @@ def neighbour_mean(panel: DataFrame, near: DataFrame, value: str) -> DataFrame:
     """(entity, category, t, nb, n): mean of the neighbours' values of the same category."""
     other = panel.select(F.col("entity").alias("b"), "category", "t", F.col(value).alias("x"))
     return near.join(other, "b").groupBy(F.col("a").alias("entity"), "category", "t").agg(F.avg("x").alias("nb"), F.count("x").alias("n"))
+
+
+def interpolate(cells: DataFrame) -> DataFrame:
+    """The grid's values with inner gaps interpolated and trailing ones held; what precedes
+    a series' first value is left out."""
+    w = Window.partitionBy(*SERIES).orderBy("t")
+    seen = F.when(F.col("v").isNotNull(), F.struct("t", "v"))
+    j = cells.withColumns({
+        "_b": F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_a": F.first(seen, True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+    })
+    b, a = F.col("_b"), F.col("_a")
+    inner = b["v"] + (a["v"] - b["v"]) * (F.col("t") - b["t"]) / (a["t"] - b["t"])
+    return j.where("_b is not null").select(*SERIES, "t", F.when(a.isNull() | (a["t"] == b["t"]), b["v"]).otherwise(inner).alias("v"))
