@@ -130,7 +130,7 @@ OWN = "own AS (SELECT entity, category, t, y - avg(y) OVER (PARTITION BY categor
 
 def scaled(source: str, ref: int = 8) -> str:
     """CTE z: cells of ``source`` (entity, category, t, l) centred and in units of noise."""
-    return f"""df AS (SELECT *, l - lag(l) OVER (PARTITION BY entity, category ORDER BY t) AS d FROM {source} WHERE t < {ref}),
+    return f"""df AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY entity, category ORDER BY t) = 1 THEN l - lag(l) OVER (PARTITION BY entity, category ORDER BY t) END AS d FROM {source} WHERE t < {ref}),
   md AS (SELECT entity, category, median(d) AS m FROM df GROUP BY 1,2),
   k0 AS (SELECT entity, category, (1.4826*median(abs(d-m)))**2 AS k FROM df JOIN md USING (entity, category) GROUP BY 1,2),
   k AS (SELECT entity, category, greatest(coalesce(k, (SELECT median(k) FROM k0)), 1e-4) AS k FROM k0),

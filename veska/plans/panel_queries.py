@@ -197,9 +197,10 @@ def _panel_seasonal(spark: SparkSession, d: str) -> DataFrame:
 
 _SEASONAL_FC = """aa AS (SELECT entity, category, o, avg(y) AS a FROM p24, os WHERE t <= o GROUP BY 1,2,3),
   zz AS (SELECT p.entity, p.category, c.o, c.t, y - n - a AS z FROM p24 p JOIN course c ON c.category=p.category AND c.t=p.t JOIN aa ON aa.entity=p.entity AND aa.category=p.category AND aa.o=c.o),
+  zl AS (SELECT entity, category, o, arg_max(z, t) AS z FROM zz GROUP BY 1,2,3),
   ps AS (SELECT 'panel_seasonal' AS model, l.o, l.entity, l.category, r.h, exp(a + hybrid + coalesce(0.6**r.h*l.z + (1-0.6**r.h)*b.z, 0.6**r.h*l.z)) AS f
-    FROM zz l JOIN aa ON aa.entity=l.entity AND aa.category=l.category AND aa.o=l.o JOIN rules r ON r.category=l.category AND r.o=l.o
-    LEFT JOIN zz b ON b.entity=l.entity AND b.category=l.category AND b.o=l.o AND b.t=l.o+r.h-12 WHERE l.t=l.o)"""
+    FROM zl l JOIN aa ON aa.entity=l.entity AND aa.category=l.category AND aa.o=l.o JOIN rules r ON r.category=l.category AND r.o=l.o
+    LEFT JOIN zz b ON b.entity=l.entity AND b.category=l.category AND b.o=l.o AND b.t=l.o+r.h-12)"""
 
 
 @query("panel_seasonal_forecast", f"{_ALL}, {_SEASONAL_FC} SELECT model, o, entity, category, h, round(f, 2) AS f FROM ps")
