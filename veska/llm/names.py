@@ -95,11 +95,13 @@ class Names:
         self.auto = ahocorasick.Automaton()
         self.index: dict[str, set[str]] = defaultdict(set)
         self.size: dict[str, int] = {}
+        self.seen: dict[tuple[str, str], set[int]] = {}
         for form, _ in self.codes:
             self.auto.add_word(form, form)
             self.size[form] = len(grams(form))
             for g in grams(form):
                 self.index[g].add(form)
+        self.longest = max((len(f) for f, _ in self.codes), default=0)
         if self.codes:
             self.auto.make_automaton()
 
@@ -125,12 +127,18 @@ class Names:
     def similar(self, word: str, kind: str) -> set[int]:
         """Codes of the aliases of a kind one slip away from the inflected word, found
         among those that share most letter pairs."""
-        g = grams(word)
+        if (word, kind) in self.seen:
+            return self.seen[word, kind]
+        if len(self.seen) > 200_000:
+            self.seen.clear()
+        got: set[int] = set()
+        self.seen[word, kind] = got
+        if len(word) > self.longest + 6:
+            return got
         count: dict[str, int] = defaultdict(int)
-        for x in g:
+        for x in grams(word):
             for form in self.index.get(x, ()):
                 count[form] += 1
-        got: set[int] = set()
         for form, n in count.items():
             if n >= self.size[form] - 5 and (form, kind) in self.codes and abs(len(word) - len(form)) < 5:
                 ends = _ENDINGS if kind == "adjective" else ("",)
@@ -191,17 +199,17 @@ def match_batch(df: pd.DataFrame, names: Names, regions: Names, region_of: dict[
     for text, beside in zip(df["text"], df["beside"]):
         name, inside = parted(text)
         codes, score = names.resolve(name)
-        if len(codes) > 1:
-            for place in (inside, beside):
-                if isinstance(place, str) and place:
-                    if place not in cache:
-                        cache[place] = regions.resolve(place)[0]
-                    here = {c for c in codes if region_of.get(c) in cache[place]}
-                    if here:
-                        codes = here
-                        break
-        rows.append((text, beside, sorted(codes), score))
-    return pd.DataFrame(rows, columns=["text", "beside", "codes", "score"])
+        agree = 0  # 2: the region inside the text decides, 1: the one beside it
+        for weight, place in ((2, inside), (1, beside)) if codes else ():
+            if isinstance(place, str) and place:
+                if place not in cache:
+                    cache[place] = regions.resolve(place)[0]
+                here = {c for c in codes if region_of.get(c) in cache[place]}
+                if here:
+                    codes, agree = here, weight
+                    break
+        rows.append((text, beside, sorted(codes), score, agree))
+    return pd.DataFrame(rows, columns=["text", "beside", "codes", "score", "agree"])
 
 
 def _alias(name: str) -> list[tuple[str, str]]:
@@ -249,14 +257,14 @@ def match_names(values: DataFrame, canonical: DataFrame, regions: DataFrame) ->
             for df in batches:
                 yield match_batch(df, names, places, region_of)
 
-        one = distinct.mapInPandas(run, "text string, beside string, codes array<bigint>, score double")
+        one = distinct.mapInPandas(run, "text string, beside string, codes array<bigint>, score double, agree int")
         got = one if got is None else got.unionByName(one)
     if blocks == 1:
-        return got
-    best = got.groupBy("text", "beside").agg(F.max("score").alias("score"))
+        return got.drop("agree")
+    rank = F.struct("score", "agree")
+    best = got.groupBy("text", "beside").agg(F.max(rank).alias("r")).select(F.col("text").alias("t"), F.col("beside").alias("b"), "r")
     return (
-        got.join(best.select(F.col("text").alias("t"), F.col("beside").alias("b"), F.col("score").alias("s")),
-                 F.col("text").eqNullSafe(F.col("t")) & F.col("beside").eqNullSafe(F.col("b")) & (F.col("score") == F.col("s")))
+        got.join(best, F.col("text").eqNullSafe(F.col("t")) & F.col("beside").eqNullSafe(F.col("b")) & (rank == F.col("r")))
         .groupBy("text", "beside", "score").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"))
         .select("text", "beside", "codes", "score")
     )
