@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veska.operators.kernels import DIFFUSE, fit_local, local_filter, run_length_scores, segmentation_scores
-from veska.operators.panel import SERIES, neighbour_mean, noise_scale, packed
+from veska.operators.panel import SERIES, neighbour_mean, noise_scale, packed, sampled
 
 
 def _own(panel: DataFrame, ref: int) -> DataFrame:
@@ -147,10 +147,9 @@ def step_ratio(z: DataFrame, periods: int, lam: float, phi: float, window: int =
 
 
 def fit_categories(z: DataFrame, periods: int, most: int = 20_000) -> DataFrame:
-    """(category, lam, phi, loss): maximum likelihood per category, on its ``most`` series of
-    lowest hash (a documented bound; two parameters need no more)."""
-    rank = F.row_number().over(Window.partitionBy("category").orderBy(F.xxhash64("entity"), "entity"))
-    p = packed(z, periods, "z").withColumn("_r", rank).where(F.col("_r") <= most)
+    """(category, lam, phi, loss): maximum likelihood per category, on about ``most`` of its
+    series chosen by hash (a documented bound; two parameters need no more)."""
+    p = sampled(packed(z, periods, "z"), ["category"], most)
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         y = np.array([[np.nan if x is None else x for x in v] for v in df["v"]], float)

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veska.operators.forecast import KEYS
 from veska.operators.kernels import fit_local, local_filter
-from veska.operators.panel import SERIES, origins
+from veska.operators.panel import SERIES, origins, sampled
 from veska.session import cut
 
 #: Series per category and origin that the two parameters are fitted on, by hash.
@@ -36,17 +36,15 @@ def _own(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_origins(seen: DataFrame) -> DataFrame:
-    """(category, o, lam, phi, scale): maximum likelihood per category and origin on at most
+    """(category, o, lam, phi, scale): maximum likelihood per category and origin on about
     SAMPLE series each (a documented bound)."""
-    rank = F.row_number().over(Window.partitionBy("category", "o").orderBy(F.xxhash64("entity"), "entity"))
-
     def run(df: pd.DataFrame) -> pd.DataFrame:
         z, _ = _own(df)
         lam, phi, _ = fit_local(z)
         scale = float(local_filter(z, lam, phi)["scale"])
         return pd.DataFrame([(df["category"].iloc[0], int(df["o"].iloc[0]), lam, phi, scale)], columns=["category", "o", "lam", "phi", "scale"])
 
-    picked = seen.withColumn("_r", rank).where(F.col("_r") <= SAMPLE).drop("_r")
+    picked = sampled(seen, ["category", "o"], SAMPLE)
     return picked.groupBy("category", "o").applyInPandas(run, "category string, o int, lam double, phi double, scale double")
 
 

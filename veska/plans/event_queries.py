@@ -175,6 +175,20 @@ def labelled_eval(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dt.labelled(_scores(spark, d), _shifts(spark, d), 2.0, [0.01, 0.02, 0.05], 6, 21), threshold=4, precision=6, recall=6)
 
 
+@query("case_gallery")
+def case_gallery(spark: SparkSession, d: str) -> DataFrame:
+    """The series of the highest scores of one channel with the first alarms of three, and
+    the confirmed shift at the first of them."""
+    z = _z(spark, d)
+    channels = {"cusum": (dt.cusum(z, T), 4.0), "run_length": (dt.run_length(z, T), 0.0), "step_ratio": (dt.step_ratio(z, T, 0.1, 0.5), 6.0)}
+    out = dt.top_alarms(channels["cusum"][0], 10, 8).select("entity", "category", F.round("s", 4).alias("top"))
+    for name, (scores, threshold) in channels.items():
+        out = out.join(dt.first_alarm(scores, F.lit(threshold), 8).withColumnRenamed("first", name), ["entity", "category"], "left")
+    at = F.least("cusum", "run_length", "step_ratio")
+    shift = _shifts(spark, d).select("entity", "category", "t", F.round("sh", 4).alias("shift"))
+    return out.withColumn("t", at).join(shift, ["entity", "category", "t"], "left")
+
+
 @query("event_alarm_delay", f"""{_S}, {_CAT}, e AS (SELECT event_id, unnest(ids) AS entity, month AS t0 FROM cat)
 SELECT event_id, s.entity, category, coalesce(min(CASE WHEN s > 1.5 AND t BETWEEN t0 AND t0+2 THEN t-t0 END), -1) AS delay FROM s JOIN e USING (entity) GROUP BY 1,2,3""")
 def event_alarm_delay(spark: SparkSession, d: str) -> DataFrame:
