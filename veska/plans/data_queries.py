@@ -11,7 +11,7 @@ from veska.operators.orphans import orphan_references, orphan_report
 from veska.operators.packed import split_packed
 from veska.operators.regular_grid import regular_grid
 from veska.operators.spikes import implausible_readings
-from veska.session import table
+from veska.session import cut, table
 
 def territories(spark: SparkSession, d: str) -> DataFrame:
     """events_merged with one row per packed territory."""
@@ -20,7 +20,7 @@ def territories(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """One row per value packed in the two fields."""
-    categories = table(spark, d, "consumption").select("category").distinct()
+    categories = cut(table(spark, d, "consumption").select("category").distinct())
     registry = table(spark, d, "event_registry_rav11l").select("event_id", "affected_categories").distinct()
     named = split_packed(registry, "affected_categories", lexicon=categories)
     out = lambda df, t: df.select(F.lit(t).alias("src_table"), "event_id", "pos", "val")
