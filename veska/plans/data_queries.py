@@ -94,3 +94,15 @@ QUERIES = {
     "p4_periods": p4_periods,
     "p6_found": p6_found,
 }
+
+# Equivalent SQL where dates in several notations can be read by it.
+_DAY = "CAST(coalesce(try_strptime(trim({0}), '%Y-%m-%d'), try_strptime(trim({0}), '%Y/%m/%d'), try_strptime(trim({0}), '%d.%m.%Y'), try_strptime(trim({0}), '%Y-%m-%d %H:%M:%S')) AS DATE)"
+_SPANS = f"""s0 AS (SELECT CAST(territory_id AS BIGINT) AS territory_id, {_DAY.format("effective_date")} AS a, coalesce({_DAY.format("end_date")}, DATE '9999-12-31') AS b FROM event_registry_maloyan),
+  s AS (SELECT DISTINCT * FROM s0 WHERE territory_id IS NOT NULL AND a IS NOT NULL AND b >= a), r AS (SELECT *, max(b) OVER (PARTITION BY territory_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s)"""
+_LISTED = """NOT EXISTS (SELECT 1 FROM market_access m WHERE m.territory_id = q.territory_id AND (added_on IS NULL OR added_on <= d) AND (removed_on IS NULL OR d < removed_on))"""
+ORACLE = {
+    "p4_found": f"WITH {_SPANS} SELECT territory_id, strftime(m + 1, '%Y-%m-%d') AS gap_from, strftime(a - 1, '%Y-%m-%d') AS gap_to FROM r WHERE m IS NOT NULL AND m < DATE '9999-12-31' AND a > m + 1",
+    "p3_found": f"""WITH q AS (SELECT 'event_registry_maloyan' AS src_table, event_id, CAST(territory_id AS BIGINT) AS territory_id, {_DAY.format("announce_date")} AS d FROM event_registry_maloyan UNION ALL
+  SELECT 'events_merged', event_id, CAST(unnest(regexp_extract_all(territory_ids, '\\d+')) AS BIGINT), {_DAY.format("announce_date")} FROM events_merged)
+SELECT DISTINCT src_table, strftime(d, '%Y-%m') AS period, event_id, territory_id FROM q WHERE territory_id IS NOT NULL AND d IS NOT NULL AND {_LISTED}""",
+}
