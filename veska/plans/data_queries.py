@@ -106,3 +106,13 @@ ORACLE = {
   SELECT 'events_merged', event_id, CAST(unnest(regexp_extract_all(territory_ids, '\\d+')) AS BIGINT), {_DAY.format("announce_date")} FROM events_merged)
 SELECT DISTINCT src_table, strftime(d, '%Y-%m') AS period, event_id, territory_id FROM q WHERE territory_id IS NOT NULL AND d IS NOT NULL AND {_LISTED}""",
 }
+
+_MONTH = r"""CASE WHEN regexp_matches(x, '^\d{4}[-/.]\d{1,2}([-/.]\d{1,2}([T ,].*)?)?$') THEN CAST(regexp_extract(x, '^(\d{4})', 1) AS INT)*12 + CAST(regexp_extract(x, '^\d{4}[-/.](\d{1,2})', 1) AS INT)
+  WHEN regexp_matches(x, '^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}([T ,].*)?$') THEN CAST(regexp_extract(x, '^\d{1,2}[-/.]\d{1,2}[-/.](\d{4})', 1) AS INT)*12 + CAST(regexp_extract(x, '^\d{1,2}[-/.](\d{1,2})', 1) AS INT)
+  WHEN regexp_matches(x, '^\d{1,2}[-/.]\d{4}$') THEN CAST(right(x, 4) AS INT)*12 + CAST(regexp_extract(x, '^(\d{1,2})', 1) AS INT)
+  WHEN regexp_matches(x, '^\d{6}(\d{2})?$') THEN CAST(left(x, 4) AS INT)*12 + CAST(substr(x, 5, 2) AS INT)
+  WHEN regexp_matches(x, '^\pL{3,}\.? +\d{4}$') THEN CAST(right(x, 4) AS INT)*12 + nullif(list_position(['янв','фев','мар','апр','ма','июн','июл','авг','сен','окт','ноя','дек'], CASE WHEN lower(left(x, 3)) IN ('май','мая') THEN 'ма' ELSE lower(left(x, 3)) END), 0) END"""
+ORACLE["p2_found"] = f"""WITH u AS (SELECT territory_id, category, {_MONTH} AS k, regexp_extract(x, '^\\d{{4}}[-/.](\\d+)', 1) AS mm FROM (SELECT *, trim(replace(date, chr(160), ' ')) AS x FROM consumption WHERE value IS NOT NULL AND NOT isnan(value))),
+  v AS (SELECT DISTINCT territory_id, category, k - 2023*12 - 1 AS t FROM u WHERE k - 2023*12 - 1 BETWEEN 0 AND 23 AND (mm = '' OR CAST(mm AS INT) BETWEEN 1 AND 12)),
+  g AS (SELECT territory_id, category, unnest(range(min(t), max(t) + 1)) AS t FROM v GROUP BY 1,2)
+SELECT territory_id, category, (2023 + t//12) || '-' || lpad(CAST(t%12 + 1 AS VARCHAR), 2, '0') AS month FROM g WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.territory_id=g.territory_id AND v.category=g.category AND v.t=g.t)"""
