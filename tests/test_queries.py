@@ -115,3 +115,36 @@ def test_missing_library_is_an_error(spark):
     assert providers
     with pytest.raises(Exception, match="not installed"):
         fo.MODELS["prophet"](packed(panel(spark), 24), 15, 15, 2).collect()
+
+
+def boosted(spark, p, first, last):
+    from veska.operators.local_model import boosted as model, boosted_features
+
+    path = course_forecast(spark, p, first)
+    for o in range(first + 1, last + 1):
+        path = path.unionByName(course_forecast(spark, p, o))
+    access = p.select("entity").distinct().withColumn("ma", F.col("entity") * 1.0)
+    near = p.select(F.col("entity").alias("a")).distinct().withColumn("b", (F.col("a") + 2) % 12)
+    features = boosted_features(packed(p.withColumn("v", F.log("v")), 24), path, access, near, first, last)
+    return features, model(features, 6, 7, trees=20)
+
+
+def test_boosted_forecasts_every_origin_blind_to_the_future(spark):
+    def run(spoil):
+        features, out = boosted(spark, panel(spark, spoil), 14, 16)
+        assert {"nb_dz1", "nb_dz3", "ma", "level"} <= set(features.columns)
+        return {(r.o, r.entity, r.h): r.f for r in out.collect()}
+
+    base = run(None)
+    assert set(base) == {(o, i, h) for o in (14, 15, 16) for i in range(12) for h in range(1, 7)}
+    future = run(lambda t: "noise" if t > 14 else None)
+    assert all(abs(future[k] - v) <= 1e-9 * abs(v) for k, v in base.items() if k[0] == 14)
+    assert any(abs(future[k] - v) > 1 for k, v in base.items() if k[0] == 16)
+
+
+def test_gbm_features_are_of_the_own_part(spark):
+    features, _ = boosted(spark, panel(spark), 15, 15)
+    got = features.groupBy("category", "t").agg(F.avg("z0").alias("m")).collect()
+    assert len(got) == 2 * 13 and max(abs(r.m) for r in got) < 1e-9  # deviations from the course average out
+    one = {(r.entity, r.t): r for r in features.where("t = 15").collect()}
+    assert abs(one[0, 15].nb_dz1 - one[2, 15].dz1) < 1e-12

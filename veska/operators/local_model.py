@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veska.operators.forecast import KEYS
-from veska.operators.kernels import fit_local, local_filter
+from veska.operators.kernels import binned, boost_trees, fit_local, local_filter
 from veska.operators.panel import SERIES, origins, sampled
 from veska.session import cut
 
@@ -91,33 +91,72 @@ def with_intervals(forecasts: DataFrame, course_mse: DataFrame, mapping: DataFra
     return j.withColumns({"lo": lo, "hi": hi})
 
 
-FEATURES = ["z0", "z1", "z2", "z12", "dz1", "dz3", "ma", "nobs", "h", "moy"]
-
-
-def boosted(features: DataFrame, course_: DataFrame, trajectory: DataFrame, origin: int, horizon: int, start_month: int, trees: int = 20) -> DataFrame:
-    """Direct forecasts for all steps from one origin by gradient-boosted trees under absolute
-    loss: (model, o, entity, category, h, f).
-
-    Rows to learn from pair each period t <= origin with steps t + h <= origin; the target
-    is the change of the log value less that of the common course.  Missing features get a
-    flag of their own.  Depth-wise trees stand in for leaf-wise ones.
+FEATURES = ["z0", "z1", "z2", "z12", "dz1", "dz3", "nb_dz1", "nb_dz3", "level", "ma", "nobs", "h", "moy"]
+
+
+def boosted_features(packed_logs: DataFrame, trajectory: DataFrame, access: DataFrame, near: DataFrame, first: int, last: int) -> DataFrame:
+    """What the boosted model knows of a series at period t as seen from origin o >= t: (o,
+    entity, category, t, FEATURES without h and moy; y, n, v, nf).  z are deviations from
+    the course and the series' own mean up to o, nb_ the mean changes of the neighbours in
+    the category.  ``access``: (entity, ma); ``near``: (a, b) of neighbours."""
+    seen = origins(packed_logs, first, last).join(F.broadcast(trajectory), ["category", "o"])  # categories x origins rows
+    own = F.filter(F.zip_with("v", "n", lambda x, n: x - n), lambda x: x.isNotNull())
+    level = F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(own), F.lit(0))
+    seen = seen.withColumn("level", level).where("level is not null")
+    seen = seen.withColumn("z", F.zip_with("v", "n", lambda x, n: x - n - F.col("level")))
+    back = lambda k: F.get("z", F.col("t") - k)
+    cells = seen.withColumn("t", F.explode(F.sequence(F.lit(3), F.col("o")))).withColumns({
+        "z0": back(0), "z1": back(1), "z2": back(2), "z12": back(12), "dz1": back(0) - back(1), "dz3": back(0) - back(3),
+        "nobs": F.size(F.filter(F.slice("z", 1, F.col("t") + 1), lambda x: x.isNotNull())),
+    })
+    other = cells.select(F.col("entity").alias("b"), "category", "o", "t", "dz1", "dz3")
+    nb = near.select("a", "b").join(other, "b").groupBy(F.col("a").alias("entity"), "category", "o", "t").agg(F.avg("dz1").alias("nb_dz1"), F.avg("dz3").alias("nb_dz3"))
+    return cells.drop("z").join(nb, [*KEYS, "t"], "left").join(access.select("entity", "ma"), "entity", "left")
+
+
+def boosted(features: DataFrame, horizon: int, start_month: int, trees: int = 400) -> DataFrame:
+    """Direct forecasts for all steps by gradient-boosted trees under absolute loss, one model
+    per origin: (model, o, entity, category, h, f).  ``features``: of ``boosted_features``.
+
+    Rows to learn from pair each period t < o with steps t + h <= o; the target is the
+    change of the log value less that of the common course.  One task learns an origin's
+    model and holds its pairs, about 100 bytes each; all pairs are used.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    known = features.where(F.col("t") <= origin)
-    steps = known.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("moy", (F.col("t") + F.col("h") + start_month) % 12)
-    for c in FEATURES[:8]:
-        steps = steps.withColumn(f"no_{c}", F.col(c).isNull().cast("double")).withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    at = course_.where(F.col("o") == origin)
-    now_n, then_n = at.select("category", "t", F.col("n").alias("n1")), at.select("category", F.col("t").alias("t2"), F.col("n").alias("n2"))
-    later = known.select(*SERIES, F.col("t").alias("t2"), F.col("z0").alias("y2"))
-    pairs = steps.where("t >= 3").withColumn("t2", F.col("t") + F.col("h")).join(later, [*SERIES, "t2"])
-    pairs = pairs.join(F.broadcast(now_n), ["category", "t"]).join(F.broadcast(then_n), ["category", "t2"])
-    train = cut(pairs.withColumn("label", F.col("y2") - F.col("z0") - F.col("n2") + F.col("n1")).where("label is not null"))
-    assemble = VectorAssembler(inputCols=[*FEATURES, *[f"no_{c}" for c in FEATURES[:8]]], outputCol="features")
-    model = GBTRegressor(lossType="absolute", maxIter=trees, maxDepth=4, stepSize=0.1, seed=42).fit(assemble.transform(train))
-    now = steps.where(F.col("t") == origin).join(F.broadcast(trajectory.where(F.col("o") == origin)), "category")
-    change = F.get("nf", F.col("h") - 1) - F.get("n", F.lit(origin))
-    out = model.transform(assemble.transform(now)).withColumn("f", F.exp(F.col("z0") + F.col("prediction") + change))
-    return out.select(F.lit("boosted").alias("model"), F.lit(origin).alias("o"), *SERIES, "h", "f")
+    steps = features.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("moy", (F.col("t") + F.col("h") + start_month) % 12)
+    at = F.col("t") + F.col("h")
+    change = F.get("v", at) - F.get("v", "t") - F.get("n", at) + F.get("n", "t")
+    steps = steps.withColumn("label", F.when(F.col("t") < F.col("o"), change)).where("t = o or label is not null")
+    last = F.try_element_at(F.filter("v", lambda x: x.isNotNull()), F.lit(-1))
+    base = F.when(F.col("t") == F.col("o"), last + F.get("nf", F.col("h") - 1) - F.get("n", "o"))
+    kinds = sorted(r["category"] for r in features.select("category").distinct().collect())  # one row per category
+    cat = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("category"))
+    numbers = ["cat", *FEATURES, "label", "base"]
+    rows = steps.withColumns({"cat": cat, "base": base}).select(*KEYS, "t", "h", *[F.col(c).cast("float" if c in FEATURES else "double").alias(f"x_{c}") for c in numbers])
+    # Rows of an origin come in one order, so that the subsamples of a run come again in the next.
+    many = features.select("o").distinct().count()
+    rows = rows.repartitionByRange(max(many, 1), "o").sortWithinPartitions("o", *SERIES, "t", "h")
+
+    def learned(parts: list[pd.DataFrame], ends: list[pd.DataFrame]) -> pd.DataFrame:
+        column = lambda c: np.concatenate([p[f"x_{c}"].to_numpy() for p in parts])
+        y = column("label")
+        x = np.stack([column("cat").astype(np.uint8), *[binned(column(c), ~np.isnan(y)) for c in FEATURES]], axis=1)
+        got, base = boost_trees(x, y, 1, trees), column("base")
+        now = ~np.isnan(base)
+        return pd.concat(ends).assign(f=np.exp(got[now] + base[now]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, ends, o = [], [], None
+        for df in batches:
+            for key, g in df.groupby("o", sort=True):
+                if key != o and parts:
+                    yield learned(parts, ends)
+                    parts, ends = [], []
+                o = key
+                parts.append(g[[f"x_{c}" for c in numbers]])
+                ends.append(g.loc[g["x_base"].notna(), [*KEYS, "h"]])
+        if parts:
+            yield learned(parts, ends)
+
+    kind = features.schema["entity"].dataType.simpleString()
+    out = rows.mapInPandas(run, f"o int, entity {kind}, category string, h int, f double")
+    return out.select(F.lit("boosted").alias("model"), *KEYS, "h", "f")

@@ -58,6 +58,11 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return q.join(p, F.col("a") < F.col("b")).select("a", "b", F.abs(F.col("ma") - F.col("m")).alias("distance"))
 
 
+def market_access(spark: SparkSession, d: str) -> DataFrame:
+    """(entity, ma): the brand's mean price stands for market access."""
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("entity")).agg(F.avg("p_retailprice").alias("ma"))
+
+
 def regions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_brand").alias("entity"), F.substring("p_brand", 7, 1).alias("region")).distinct()
 

@@ -559,11 +559,11 @@ def ssm_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gbm_forecast")
 def gbm_forecast(spark: SparkSession, d: str) -> DataFrame:
-    from veska.operators.local_model import boosted
+    from veska.operators.local_model import boosted, boosted_features
 
-    panel = fx.panel24(spark, d)
-    features = cut(fo.lag_features(panel.withColumn("y", F.log("v")), "y"))
-    out = boosted(features, cut(dc.course(panel, LAST - 4, LAST - 4)), cut(_trajectory(spark, d)), LAST - 4, H, START_MONTH)
+    near = pn.neighbours(fx.edges(spark, d), 10)
+    features = cut(boosted_features(_logs(spark, d), cut(_trajectory(spark, d)), fx.market_access(spark, d), near, FIRST, LAST))
+    out = boosted(features, H, START_MONTH)
     return rounded(out, f=4)
 
 
