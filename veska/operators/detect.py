@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veska.operators.kernels import DIFFUSE, fit_local, local_filter, run_length_scores, segmentation_scores
-from veska.operators.panel import SERIES, neighbour_mean, noise_scale, packed, sampled
+from veska.operators.kernels import DIFFUSE, local_filter, local_sums, run_length_scores, segmentation_scores
+from veska.operators.panel import SERIES, neighbour_mean, noise_scale, packed
+from veska.session import cut
 
 
 def _own(panel: DataFrame, ref: int) -> DataFrame:
@@ -146,16 +147,61 @@ def step_ratio(z: DataFrame, periods: int, lam: float, phi: float, window: int =
     return v.select(*SERIES, "t").join(best, [*SERIES, "t"], "left").select(*SERIES, "t", F.coalesce("s", F.lit(0.0)).alias("s"))
 
 
-def fit_categories(z: DataFrame, periods: int, most: int = 20_000) -> DataFrame:
-    """(category, lam, phi, loss): maximum likelihood per category, on about ``most`` of its
-    series chosen by hash (a documented bound; two parameters need no more)."""
-    p = sampled(packed(z, periods, "z"), ["category"], most)
+def fit_series(series: DataFrame, by: list[str], finest: float = 5e-4) -> DataFrame:
+    """(by, lam, phi, scale, loss): maximum likelihood per group from all its series, by a grid
+    over ln lam and atanh phi that closes in on each group's best point.  ``series``: (by, z
+    ARRAY); each round is one pass that sums the evidence where the series lie."""
+    spark, series = series.sparkSession, cut(series.select(*by, "z"))
+    keys = ", ".join(f"{c} {series.schema[c].dataType.simpleString()}" for c in by)
+    most = 40
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        y = np.array([[np.nan if x is None else x for x in v] for v in df["v"]], float)
-        return pd.DataFrame([(df["category"].iloc[0], *fit_local(y))], columns=["category", "lam", "phi", "loss"])
-
-    return p.groupBy("category").applyInPandas(run, "category string, lam double, phi double, loss double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for key, g in df.groupby(by):
+                z = np.array([[np.nan if x is None else x for x in v] for v in g["z"]], float)
+                k, ss, ld = local_sums(z, np.exp(np.array(g["xs"].iloc[0])), np.tanh(np.array(g["es"].iloc[0])))
+                yield pd.DataFrame([(*key, k, ss.tolist(), ld.tolist())], columns=[*by, "k", "ss", "ld"])
+
+    def best(points: dict[tuple, np.ndarray]) -> dict[tuple, tuple[np.ndarray, float, float]]:
+        tried = spark.createDataFrame([(*key, p[:, 0].tolist(), p[:, 1].tolist()) for key, p in points.items()], f"{keys}, xs array<double>, es array<double>")
+        sums = series.join(F.broadcast(tried), by).mapInPandas(run, f"{keys}, k bigint, ss array<double>, ld array<double>")  # one row per group
+        each = sums.select(*by, "k", F.posexplode(F.arrays_zip("ss", "ld")).alias("i", "x"))
+        rows = each.groupBy(*by, "i").agg(F.sum("k").alias("k"), F.sum("x.ss").alias("ss"), F.sum("x.ld").alias("ld")).collect()  # groups x points
+        found: dict[tuple, list] = {}
+        for r in sorted(rows, key=lambda r: r["i"]):
+            scale = r["ss"] / max(r["k"], 1)
+            found.setdefault(tuple(r[c] for c in by), []).append((scale, r["k"] * math.log(max(scale, 1e-300)) + r["ld"]))
+        out = {}
+        for key, tried_ in found.items():
+            loss = np.array([x[1] for x in tried_])
+            i = int(np.flatnonzero(loss <= loss.min() + 1e-9 * abs(loss.min()))[0])  # of equals the nearest to the centre
+            out[key] = (points[key][i], *tried_[i])
+        return out
+
+    def around(center: np.ndarray, xs: np.ndarray, es: np.ndarray) -> np.ndarray:
+        p = np.array([(x, e) for x in xs for e in es])
+        p = p[np.argsort((((p - center) / (xs[1] - xs[0], es[1] - es[0])) ** 2).sum(axis=1), kind="stable")]
+        return np.clip(p, (-14.0, -6.0), (20.0, 6.0))  # lam below e^-14 is none
+
+    begin, seven = around(np.array([-4.0, 0.5]), np.arange(-9.0, 5.0), np.arange(-2.0, 5.25, 0.25)), np.arange(-3, 4)
+    groups = [tuple(r) for r in series.select(*by).distinct().collect()]  # one row per group
+    got = best({key: begin for key in groups})
+    step = {key: 1 / 3 for key in got}
+    for _ in range(most):
+        left = {key: around(got[key][0], got[key][0][0] + seven * s, got[key][0][1] + seven * s / 2) for key, s in step.items() if s > finest / 3}
+        if not left:
+            break
+        for key, new in best(left).items():
+            inside = (np.abs(new[0] - got[key][0]) < np.array([2.5, 1.25]) * step[key]).all()
+            got[key], step[key] = new, step[key] / 3 if inside else min(2 * step[key], 1.0)
+    rows = [(*key, math.exp(p[0]), math.tanh(p[1]), scale, loss) for key, (p, scale, loss) in got.items()]
+    return spark.createDataFrame(rows, f"{keys}, lam double, phi double, scale double, loss double")
+
+
+def fit_categories(z: DataFrame, periods: int) -> DataFrame:
+    """(category, lam, phi, loss): maximum likelihood per category, on all of its series."""
+    series = packed(z, periods, "z").withColumnRenamed("v", "z")
+    return fit_series(series, ["category"]).select("category", "lam", "phi", "loss")
 
 
 def fit_grid(z: DataFrame, periods: int, grid: list[tuple[float, float]]) -> DataFrame:

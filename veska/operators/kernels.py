@@ -53,15 +53,16 @@ def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, tol: float = 1e
     return points[best], value[best]
 
 
-def local_filter(z: np.ndarray, lam: float, phi: float, boost: np.ndarray | None = None) -> dict[str, np.ndarray | float]:
+def local_filter(z: np.ndarray, lam: float | np.ndarray, phi: float | np.ndarray, boost: np.ndarray | None = None) -> dict[str, np.ndarray | float]:
     """Kalman filter of many series at once: random-walk level plus AR(1), shocks of
     variance ``lam`` and 1, no observation noise.  Gaps (NaN) only predict.  The first
-    observation of a series starts it and is no evidence.  Returns the last state (m0, m1,
+    observation of a series starts it and is no evidence.  ``lam`` and ``phi`` may differ by
+    series.  Returns the last state (m0, m1,
     p00, p01, p11), innovations ``v`` and their variances ``f``, the concentrated scale
     and -2 log likelihood."""
     n, periods = z.shape
     m0, m1, p01 = np.zeros(n), np.zeros(n), np.zeros(n)
-    p00, p11 = np.full(n, DIFFUSE), np.full(n, 1 / max(1 - phi * phi, 1e-3))
+    p00, p11 = np.full(n, DIFFUSE), np.full(n, 1 / np.maximum(1 - phi * phi, 1e-3))
     v, f = np.full(z.shape, np.nan), np.full(z.shape, np.nan)
     begun = np.zeros(n, bool)
     for t in range(periods):
@@ -83,6 +84,20 @@ def local_filter(z: np.ndarray, lam: float, phi: float, boost: np.ndarray | None
     return {"m0": m0, "m1": m1, "p00": p00, "p01": p01, "p11": p11, "v": v, "f": f, "scale": scale, "loss": loss}
 
 
+def local_sums(z: np.ndarray, lam: np.ndarray, phi: np.ndarray, most: int = 2_000_000) -> tuple[int, np.ndarray, np.ndarray]:
+    """Evidence of many series on each of some parameter pairs: observations, sums of v^2/f
+    and of ln f.  Sums of parts of the series add up; ``most`` cells are filtered at once."""
+    n, periods = z.shape
+    step, ss, ld, k = max(1, most // max(n * periods, 1)), [], [], 0
+    for i in range(0, len(lam), step):
+        x, p = lam[i : i + step], phi[i : i + step]
+        got = local_filter(np.tile(z, (len(x), 1)), np.repeat(x, n), np.repeat(p, n))
+        v, f = got["v"].reshape(len(x), -1), got["f"].reshape(len(x), -1)
+        k = int((~np.isnan(v[0])).sum())
+        ss.append(np.nansum(v * v / f, axis=1)), ld.append(np.nansum(np.log(f), axis=1))
+    return k, np.concatenate(ss), np.concatenate(ld)
+
+
 def fit_local(z: np.ndarray, boost: np.ndarray | None = None) -> tuple[float, float, float]:
     """(lam, phi, -2 log likelihood) by maximum likelihood from two starts."""
     loss = lambda th: float(local_filter(z, math.exp(min(th[0], 20.0)), math.tanh(th[1]), boost)["loss"])

@@ -10,42 +10,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veska.operators.detect import fit_series
 from veska.operators.forecast import KEYS
-from veska.operators.kernels import binned, boost_trees, fit_local, local_filter
-from veska.operators.panel import SERIES, origins, sampled
+from veska.operators.kernels import binned, boost_trees, local_filter
+from veska.operators.panel import SERIES, origins
 from veska.session import cut
 
-#: Series per category and origin that the two parameters are fitted on, by hash.
-SAMPLE = 2_000
 
-
-def _own(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Deviations from the common course in units of each series' noise, and the noise."""
-    y = np.array([[np.nan if x is None else x for x in v] for v in df["v"]], float)
-    z = y - np.array(df["n"].tolist(), float)
-    step = np.diff(z, axis=1)
-    with np.errstate(all="ignore"):
-        import warnings
-
-        warnings.simplefilter("ignore")
-        mad = np.nanmedian(np.abs(step - np.nanmedian(step, axis=1, keepdims=True)), axis=1)
-    k = (1.4826 * mad) ** 2
-    k = np.where(np.isnan(k), np.nanmedian(k) if (~np.isnan(k)).any() else 1.0, k)
-    k = np.maximum(k, 1e-4)
-    return z / np.sqrt(k)[:, None], k
-
-
-def fit_origins(seen: DataFrame) -> DataFrame:
-    """(category, o, lam, phi, scale): maximum likelihood per category and origin on about
-    SAMPLE series each (a documented bound)."""
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        z, _ = _own(df)
-        lam, phi, _ = fit_local(z)
-        scale = float(local_filter(z, lam, phi)["scale"])
-        return pd.DataFrame([(df["category"].iloc[0], int(df["o"].iloc[0]), lam, phi, scale)], columns=["category", "o", "lam", "phi", "scale"])
-
-    picked = sampled(seen, ["category", "o"], SAMPLE)
-    return picked.groupBy("category", "o").applyInPandas(run, "category string, o int, lam double, phi double, scale double")
+def own_parts(seen: DataFrame) -> DataFrame:
+    """(o, entity, category, nf, k, z): deviations from the common course in units of each
+    series' noise, and the noise; series without a change take the median of the others."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            ks = []
+            for v in df["z"]:
+                step = np.diff(np.array([np.nan if x is None else x for x in v], float))
+                step = step[~np.isnan(step)]
+                ks.append((1.4826 * float(np.median(np.abs(step - np.median(step))))) ** 2 if len(step) else None)
+            df["k"] = pd.array(ks, dtype="Float64")
+            yield df
+
+    kind = seen.schema["entity"].dataType.simpleString()
+    z = seen.select(*KEYS, "nf", F.zip_with("v", "n", lambda x, n: x - n).alias("z"))
+    known = cut(z.mapInPandas(run, f"o int, entity {kind}, category string, nf array<double>, z array<double>, k double"))
+    rest = known.groupBy("category", "o").agg(F.median("k").alias("pool"))  # categories x origins rows
+    known = known.join(F.broadcast(rest), ["category", "o"]).withColumn("k", F.greatest(F.coalesce("k", "pool", F.lit(1.0)), F.lit(1e-4)))
+    return known.select(*KEYS, "nf", "k", F.transform("z", lambda x: x / F.sqrt("k")).alias("z"))
 
 
 def panel_ssm(packed_logs: DataFrame, trajectory: DataFrame, first: int, last: int, horizon: int) -> DataFrame:
@@ -53,14 +43,16 @@ def panel_ssm(packed_logs: DataFrame, trajectory: DataFrame, first: int, last: i
     ``var`` the variance of the own part's forecast in logs.  A series without a reading up
     to the origin has no forecast.  ``trajectory``: (category, o, n, nf)."""
     seen = origins(packed_logs, first, last).join(F.broadcast(trajectory), ["category", "o"])
-    fitted = cut(fit_origins(seen))
+    parts = own_parts(seen)
+    fitted = fit_series(parts, ["category", "o"])
     h = np.arange(1, horizon + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             out = []
             for _, g in df.groupby(["category", "o"]):
-                z, k = _own(g)
+                z = np.array([[np.nan if x is None else x for x in v] for v in g["z"]], float)
+                k = g["k"].to_numpy()
                 lam, phi, scale = g["lam"].iloc[0], g["phi"].iloc[0], g["scale"].iloc[0]
                 s = local_filter(z, lam, phi)
                 root = np.sqrt(k)[:, None]
@@ -76,7 +68,7 @@ def panel_ssm(packed_logs: DataFrame, trajectory: DataFrame, first: int, last: i
                 yield pd.concat(out)
 
     kind = packed_logs.schema["entity"].dataType.simpleString()
-    got = seen.join(F.broadcast(fitted), ["category", "o"]).mapInPandas(run, f"o int, entity {kind}, category string, fs array<double>, vs array<double>")
+    got = parts.join(F.broadcast(fitted), ["category", "o"]).mapInPandas(run, f"o int, entity {kind}, category string, fs array<double>, vs array<double>")
     each = got.select(*KEYS, F.posexplode(F.arrays_zip("fs", "vs")).alias("h", "x"))
     return each.select(F.lit("panel_ssm").alias("model"), *KEYS, (F.col("h") + 1).alias("h"), F.col("x.fs").alias("f"), F.col("x.vs").alias("var"))
 

@@ -119,11 +119,3 @@ def interpolate(cells: DataFrame) -> DataFrame:
     b, a = F.col("_b"), F.col("_a")
     inner = b["v"] + (a["v"] - b["v"]) * (F.col("t") - b["t"]) / (a["t"] - b["t"])
     return j.where("_b is not null").select(*SERIES, "t", F.when(a.isNull() | (a["t"] == b["t"]), b["v"]).otherwise(inner).alias("v"))
-
-
-def sampled(rows: DataFrame, by: list[str], most: int) -> DataFrame:
-    """About ``most`` entities of each group, chosen by hash, or all where there are fewer.
-    No group is gathered for it: the groups are counted, then each row decides for itself."""
-    n = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    u = F.pmod(F.xxhash64("entity"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(F.broadcast(n), by).where(u * F.col("_n") < most).drop("_n")  # one row per group
