@@ -9,12 +9,12 @@ from veska.operators.packed import atoms_of, lattice, spans_of, split_packed
 CATS = ["Дом и ремонт", "Продукты", "Одежда, обувь", "Кафе/столовые", "Связь; интернет"]
 
 
-def run(spark, texts, lexicon=None, atomic=None, extra=False):
+def run(spark, texts, lexicon=None):
     rows = [(i, t, "x", 7) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "id int, field string, val string, n int")
     lex = spark.createDataFrame([(c,) for c in lexicon], "category string") if lexicon is not None else None
     out: dict = {}
-    got = split_packed(df, "field", lexicon=lex, atomic=atomic)
+    got = split_packed(df, "field", lexicon=lex)
     assert got.columns == ["id", "field", "n", "pos", "val"]
     for r in sorted(got.collect(), key=lambda r: (r.id, r.pos)):
         out.setdefault(r.id, []).append((r.pos, r.val))
@@ -50,10 +50,33 @@ def test_values_learned_from_the_column_alone(spark):
 
 
 def test_keys(spark):
-    got = run(spark, ["1001;1002", '["1001", 1003]', "1001 и 1002", "'1' / '1'", "{5}", "1;;2; ", "7\t8 9"], atomic=r"\d+")
+    got = run(spark, ["1001;1002", '["1001", 1003]', "1001 и 1002", "'1' / '1'", "{5}", "1;;2; ", "7\t8 9"])
     assert got == [["1001", "1002"], ["1001", "1003"], ["1001", "1002"], ["1", "1"], ["5"], ["1", "2"], ["7", "8", "9"]]
 
 
+def test_keys_that_repeat_together_stay_apart(spark):
+    rnd = random.Random(3)
+    truth = [[str(rnd.randint(100, 160)) for _ in range(rnd.randint(1, 5))] for _ in range(300)]
+    truth += [["101", "102"]] * 3
+    texts = [rnd.choice([" ", ", ", ";", "|"]).join(vals) for vals in truth[:-3]] + ["101 102", "[101 102]", "(101 102)"]
+    assert run(spark, texts) == truth
+
+
+def test_a_value_of_many_words(spark):
+    long = "one two three four five six seven, eight and nine"
+    assert run(spark, [f"{long}; ten", f"ten, {long}, {long}"], lexicon=[long]) == [[long, "ten"], ["ten", long, long]]
+    words = " ".join(f"w{i}" for i in range(40))
+    assert run(spark, [f'"{words}"', f"x, {words}, y"]) == [[words], ["x", words, "y"]]
+
+
+def test_frequencies_decide_where_the_start_is_a_tie(spark):
+    """Both values start alike, and a tie goes to the longer first value: only the
+    expected counts tell that 'y z' is the common one."""
+    texts = [f"q{i}, y z" for i in range(20)] + ["x y z"]
+    assert run(spark, texts, lexicon=["x y", "y z"])[-1] == ["x", "y z"]
+    assert run(spark, ["x y z"], lexicon=["x y", "y z"]) == [["x y", "z"]]
+
+
 def test_no_values(spark):
     assert run(spark, [None, "", "  ", ";;|", "[]", "a" * 20000, "b;b"]) == [[], [], [], [], [], ["a" * 20000], ["b", "b"]]
 
@@ -83,8 +106,9 @@ def test_lattice_against_all_paths(seed):
             if all(p in by for p in zip(points, points[1:])):
                 ks = [by[p] for p in zip(points, points[1:])]
                 paths.append((sum(edges[k][2] for k in ks), ks))
-    post, best = lattice(edges)
+    post, best, weight = lattice(edges)
     assert best == max(paths)[1]
     total = sum(math.exp(w) for w, _ in paths)
+    assert abs(weight - math.log(total)) < 1e-9
     for k in range(len(edges)):
         assert abs(post[k] - sum(math.exp(w) for w, ks in paths if k in ks) / total) < 1e-9
