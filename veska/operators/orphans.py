@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veska.session import cut
+
 _FAR = 9_999_999
 
 
@@ -29,10 +33,17 @@ def _listed(refs: pd.DataFrame, parents: pd.DataFrame) -> np.ndarray:
     return found & (rank[at] == r) & (until[at] > d)
 
 
-def _probe(_, refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
-    if refs.empty:
-        return pd.DataFrame({"k": pd.Series(dtype="int64"), "d": pd.Series(dtype="int32")})
-    return refs.loc[~_listed(refs, parents), ["k", "d"]]
+def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Misses of one key range, whose parents come first."""
+    held, parents = [], None
+    for df in batches:
+        held.append(df.loc[df["u"].notna(), ["k", "f", "u"]])
+        refs = df[df["u"].isna()]
+        if len(refs):
+            if parents is None or len(held[-1]):
+                parents = pd.concat(held).astype({"u": "int64"})
+            refs = refs.rename(columns={"f": "d"})
+            yield refs.loc[~_listed(refs, parents), ["k", "d"]]
 
 
 def orphan_references(
@@ -43,7 +54,6 @@ def orphan_references(
     parent_key: str,
     parent_from: str,
     parent_until: str,
-    per_range: int = 200_000,
 ) -> DataFrame:
     """Rows of ``references`` whose ``key`` no parent holds on ``day``, all columns kept.
 
@@ -52,39 +62,27 @@ def orphan_references(
     with a null key or day refer to nothing and give no row.  Repeated references
     stay repeated.  Without parents every reference is an orphan.
 
-    Both sides are cut into key ranges of about ``per_range`` parents, whose bounds
-    come from the parents' quantiles.  Each range holds its parents as sorted arrays
-    and probes the batch of distinct (key, day) pairs by binary search, so a key that
-    many rows share is probed once per day, and the misses select the rows.
+    Parents and distinct (key, day) pairs are cut together into key ranges of about equal
+    numbers of rows, so keys far outside the parents' spread over ranges of their own, and
+    a key that many rows share is probed once per day.  Each range holds its parents as
+    sorted arrays and probes its references batch by batch with binary search; the misses
+    select the rows.
     """
-    spark = references.sparkSession
+    number = lambda c: F.datediff(c, F.lit("1970-01-01"))
     p = parents.select(
         F.col(parent_key).cast("bigint").alias("k"),
-        F.coalesce(F.datediff(F.col(parent_from), F.lit("1970-01-01")), F.lit(-_FAR)).alias("f"),
-        F.coalesce(F.datediff(F.col(parent_until), F.lit("1970-01-01")), F.lit(_FAR)).alias("u"),
+        F.coalesce(number(F.col(parent_from)), F.lit(-_FAR)).alias("f"),
+        F.coalesce(number(F.col(parent_until)), F.lit(_FAR)).alias("u"),
     ).where("k is not null").groupBy("k", "f").agg(F.max("u").alias("u"))
-    n = p.count()
-    ranges = min(4096, max(1, -(-n // per_range)))
-    bounds = [] if ranges == 1 else sorted({int(x) for x in p.approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.1 / ranges)})
-
-    def ranged(df: DataFrame) -> DataFrame:
-        if not bounds:
-            return df.withColumn("r", F.lit(0))
-        at = spark.createDataFrame([(bounds,)], "b array<bigint>")  # at most 4096 numbers
-        return df.crossJoin(F.broadcast(at)).withColumn("r", F.size(F.filter("b", lambda x: x <= F.col("k")))).drop("b")
-
     r = (
-        references.select(F.col(key).cast("bigint").alias("k"), F.datediff(F.col(day), F.lit("1970-01-01")).alias("d"))
-        .where("k is not null and d is not null")
-        .distinct()
-    )
-    misses = (
-        ranged(r).groupBy("r").cogroup(ranged(p).groupBy("r")).applyInPandas(_probe, "k bigint, d int")
-        .select(F.col("k").alias("_miss_k"), F.col("d").alias("_miss_d"))
-    )
-    on = (F.col(key).cast("bigint") == F.col("_miss_k")) & (
-        F.datediff(F.col(day), F.lit("1970-01-01")) == F.col("_miss_d")
+        references.select(F.col(key).cast("bigint").alias("k"), number(F.col(day)).alias("f"))
+        .where("k is not null and f is not null").distinct()
+        .withColumn("u", F.lit(None).cast("int"))
     )
+    both = cut(p.unionByName(r))  # the ranges' bounds are sampled before the rows move
+    ranged = both.repartitionByRange("k").sortWithinPartitions(F.col("u").isNull(), "k")
+    misses = ranged.mapInPandas(_probe, "k bigint, d int").select(F.col("k").alias("_miss_k"), F.col("d").alias("_miss_d"))
+    on = (F.col(key).cast("bigint") == F.col("_miss_k")) & (number(F.col(day)) == F.col("_miss_d"))
     return references.join(misses, on, "left_semi")
 
 

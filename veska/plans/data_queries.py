@@ -16,7 +16,7 @@ from veska.session import cut, table
 def territories(spark: SparkSession, d: str) -> DataFrame:
     """events_merged with one row per packed territory."""
     events = table(spark, d, "events_merged").select("event_id", "territory_ids", "announce_date").distinct()
-    return split_packed(events, "territory_ids", atomic=r"\d+")
+    return split_packed(events, "territory_ids")
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """One row per value packed in the two fields."""
@@ -46,7 +46,7 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     many = territories(spark, d).select(
         F.lit("events_merged").alias("src_table"), "event_id", F.expr("try_cast(val as bigint)").alias("territory_id"), "announce_date"
     )
-    refs = one.unionByName(many).withColumn("day", parse_date(F.col("announce_date")))
+    refs = cut(one.unionByName(many).withColumn("day", parse_date(F.col("announce_date"))).drop("announce_date"))
     return orphan_references(
         refs, "territory_id", "day", table(spark, d, "market_access"), "territory_id", "added_on", "removed_on"
     ).withColumn("period", F.date_format("day", "yyyy-MM"))
