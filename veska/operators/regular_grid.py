@@ -30,40 +30,41 @@ def regular_grid(
     by source, so a source holding a large share of all rows costs one map-side
     combine, and a source's window never exceeds the grid's length.
     """
-    keys = [f"_s{i}" for i in range(len(source))]
+    # One struct of the source columns is the key: structs compare null with null.
     usable = (
         readings.select(
-            *[F.col(s).alias(k) for s, k in zip(source, keys)],
+            F.struct(*[F.col(s).alias(f"s{i}") for i, s in enumerate(source)]).alias("_k"),
             bucket.cast("int").alias("_b"),
             F.col(value).cast("double").alias("_v"),
             F.col(arrived).alias("_a"),
         )
         .where(F.col("_b").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
     )
-    read = usable.groupBy(*keys, "_b").agg(
+    read = usable.groupBy("_k", "_b").agg(
         F.count("*").alias("_n"),
         F.max(F.struct("_a", "_v"))["_v"].alias("_v"),
     )
-    # The readings' side keeps the partitioning of its aggregation; only the sequence moves.
+    # Both uses of the aggregate ask for all its columns, so its one exchange serves both; the
+    # readings' side keeps the partitioning of its aggregation and only the sequence moves.
     sequence = (
-        read.groupBy(*keys)
-        .agg(F.min("_b").alias("_first"), F.max("_b").alias("_last"))
-        .select(*keys, F.explode(F.sequence("_first", "_last")).alias("_at"))
+        read.groupBy("_k")
+        .agg(F.min("_b").alias("_first"), F.max("_b").alias("_last"), F.max("_n").alias("_n"), F.max("_v").alias("_v"))
+        .where("_n is not null and _v is not null")
+        .select("_k", F.explode(F.sequence("_first", "_last")).alias("_at"))
     )
-    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     joined = (
         sequence.alias("g")
-        .join(read.alias("r"), [*same, F.col("g._at") == F.col("r._b")], "left")
-        .select(*[F.col(f"g.{k}") for k in keys], "_at", "_b", "_n", "_v")
+        .join(read.alias("r"), (F.col("g._k") == F.col("r._k")) & (F.col("g._at") == F.col("r._b")), "left")
+        .select("g._k", "_at", "_b", "_n", "_v")
     )
-    w = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("_k").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(F.when(F.col("_b").isNotNull(), F.struct("_b", "_v")), ignorenulls=True).over(w)
     grid = joined.withColumn("_seen", seen).select(
-        *keys, "_at", "_n", F.col("_seen._b").alias("_b"), F.col("_seen._v").alias("_v")
+        "_k", "_at", "_n", F.col("_seen._b").alias("_b"), F.col("_seen._v").alias("_v")
     )
     age = F.col("_at") - F.col("_b")
     return grid.select(
-        *[F.col(k).alias(s) for s, k in zip(source, keys)],
+        *[F.col(f"_k.s{i}").alias(s) for i, s in enumerate(source)],
         F.col("_at").alias("bucket"),
         F.when(age == 0, F.col("_n")).otherwise(F.lit(0)).cast("bigint").alias("n"),
         F.when(age == 0, F.col("_v")).alias("value"),
