@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from veska.operators.spikes import forward_backward, implausible_readings, runs, stuck_periods
+from veska.operators.spikes import MOVE, fit_moves, forward_backward, held_positions, implausible_readings, runs
 
 SCHEMA = "id int, src int, kind string, t int, v double, n string"
 
@@ -61,7 +61,7 @@ def test_flags(spark):
     rows += [(n, 1, "k", None, -5.0, "x"), (n + 1, 1, "k", 3, None, "x"), (n + 2, 1, "k", 3, float("nan"), "x"), (n + 3, None, "k", 3, 900.0, "x"), (n + 4, 1, "k", 2, float("inf"), "x"), (n + 5, 2, None, 2, 800.0, "x")]
     bad |= {n: "out_of_range", n + 4: "out_of_range"}
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.id: r.flag for r in implausible_readings(df, "id", ["src", "kind"], "kind", F.col("t"), "v", 24).collect()}
+    got = {r.id: r.flag for r in implausible_readings(df, "id", ["src", "kind"], "kind", F.col("t"), "v").collect()}
     assert set(bad) - set(got) == set()
     assert len(set(got) - set(bad)) <= 2
     assert sum(got[i] == f for i, f in bad.items()) >= 0.95 * len(bad)
@@ -71,15 +71,55 @@ def test_repeats_count_and_empty(spark):
     rows, bad = series(1, sources=12)
     df = spark.createDataFrame(rows, SCHEMA)
     twice = df.unionByName(df.withColumn("id", F.col("id") + 100_000))
-    got = {r.id for r in implausible_readings(twice, "id", ["src", "kind"], "kind", F.col("t"), "v", 24).collect()}
+    got = {r.id for r in implausible_readings(twice, "id", ["src", "kind"], "kind", F.col("t"), "v").collect()}
     assert {i for i in bad} <= got and {i + 100_000 for i in bad} <= got
-    assert implausible_readings(df.limit(0), "id", ["src", "kind"], "kind", F.col("t"), "v", 24).count() == 0
+    assert implausible_readings(df.limit(0), "id", ["src", "kind"], "kind", F.col("t"), "v").count() == 0
 
 
 def test_helpers():
     assert runs(np.array([0, 0, 0, 1]), np.array([1.0, 1.0, 1.0, 1.0]), np.array([0, 1, 3, 4])).tolist() == [2, 2, 1, 1]
-    seen = np.array([0b1110111111])
-    assert stuck_periods(np.array([0b0110111100]), seen, 10).tolist() == [0b0110111100]
-    assert stuck_periods(np.array([0b0000111100]), seen, 10).tolist() == [0]
-    post = forward_backward(np.log(np.full((2, 3, 4), 0.25)), np.array([3, 2]))
-    assert np.allclose(post.sum(axis=2), 1) and (post[:, :, 0] > 0.9).all()
+    assert held_positions(np.array([2, 3, 4, 5, 6, 9, 10])).tolist() == [2, 3, 4, 5, 6]
+    assert held_positions(np.array([2, 3, 4, 5])).tolist() == []
+    move = np.repeat(MOVE[None], 2, axis=0)
+    post, context, moves = forward_backward(np.log(np.full((2, 3, 4), 0.25)), np.array([3, 2]), move)
+    assert np.allclose(post.sum(axis=2), 1) and (post[:, :, 0] > 0.9).all() and np.allclose(moves.sum(axis=(1, 2)), [2, 1])
+
+
+def test_forward_backward_against_all_paths():
+    rnd = np.random.default_rng(1)
+    emit, move = rnd.normal(size=(1, 4, 4)), rnd.dirichlet(np.ones(4), size=(1, 4))
+    from itertools import product
+
+    from veska.operators.spikes import START
+
+    post, context, moves = forward_backward(emit, np.array([4]), move)
+    weight = {p: START[p[0]] * np.prod([move[0, a, b] for a, b in zip(p, p[1:])]) * np.exp(sum(emit[0, t, x] for t, x in enumerate(p))) for p in product(range(4), repeat=4)}
+    total = sum(weight.values())
+    for t in range(4):
+        for k in range(4):
+            assert abs(post[0, t, k] - sum(w for p, w in weight.items() if p[t] == k) / total) < 1e-9
+    assert abs(moves[0, 1, 2] - sum(w * sum(p[t] == 1 and p[t + 1] == 2 for t in range(3)) for p, w in weight.items()) / total) < 1e-9
+    alone = context[0] * np.exp(emit[0])
+    assert np.allclose(alone / alone.sum(axis=1, keepdims=True), post[0])
+
+
+def test_the_chain_decides():
+    """One reading that says as much for a spike as against it is none after normal ones and
+    one after a spike; and a source that spikes often learns so."""
+    sure, split, normal = [-9.0, 0.0, -9.0, -9.0], [-3.0, -0.1, -9.0, -9.0], [0.0, -9.0, -9.0, -9.0]
+    post, _, _ = fit_moves(np.array([[normal, normal, split, normal], [normal, sure, split, normal]]), np.array([4, 4]))
+    assert post[0, 2, 1] < 0.5 < post[1, 2, 1]
+    _, _, move = fit_moves(np.array([[normal, sure] * 20, [normal, normal] * 20]), np.array([40, 40]))
+    assert move[0, 0, 1] > 0.3 and move[1, 0, 1] < 0.01
+
+
+def test_long_series(spark):
+    """An hourly source of 3,000 periods far from zero and one of a handful."""
+    rnd = np.random.default_rng(5)
+    v = 100 * np.exp(rnd.normal(0, 0.03, 3000))
+    v[1234] *= 4
+    v[2000:2007] = v[2000]
+    rows = [(i, 1, "k", 400_000 + i, float(x), "x") for i, x in enumerate(v)]
+    rows += [(5000 + i, 2, "k", 401_000 + i, 100.0 + i, "x") for i in range(4)]
+    got = {(r.id, r.flag) for r in implausible_readings(spark.createDataFrame(rows, SCHEMA), "id", ["src"], "src", F.col("t"), "v").collect()}
+    assert got == {(1234, "spike"), *((i, "stuck") for i in range(2000, 2007))}

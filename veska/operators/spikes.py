@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from veska.session import cut
 
@@ -27,9 +28,13 @@ FLOOR, DEFAULT = 0.02, 0.07
 LEAST = 0.5
 #: Readings beyond the kind's 99.9 % quantile times this are impossible.
 BEYOND = 10.0
-#: States: normal, spike, stuck, out of range.
-START = np.log([0.985, 0.008, 0.005, 0.002])
-MOVE = np.log([[0.985, 0.008, 0.005, 0.002], [0.79, 0.20, 0.005, 0.005], [0.10, 0.005, 0.89, 0.005], [0.78, 0.01, 0.01, 0.20]])
+#: States: normal, spike, stuck, out of range; where every source's chain starts from.
+START = np.array([0.985, 0.008, 0.005, 0.002])
+MOVE = np.array([[0.985, 0.008, 0.005, 0.002], [0.79, 0.20, 0.005, 0.005], [0.10, 0.005, 0.89, 0.005], [0.78, 0.01, 0.01, 0.20]])
+#: Moves out of each state that MOVE counts as when a source's own moves are learned.
+WEIGHT = 20.0
+#: Most cells that are filtered at once.
+CELLS = 400_000
 
 
 def _gauss(x: np.ndarray, s: np.ndarray | float) -> np.ndarray:
@@ -48,23 +53,45 @@ def log_spike_state(dev: np.ndarray) -> np.ndarray:
     return np.log(np.where(a < LEAST, 0.0, 0.45 * _gauss(a - 1.0, 0.35) + 0.02) + 1e-12)
 
 
-def forward_backward(emit: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """State posteriors (series, time, state) of left-aligned sequences of log emissions."""
+def forward_backward(emit: np.ndarray, length: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of left-aligned sequences of log emissions (series, time, state) under each series'
+    own moves (series, from, to): state posteriors, what the neighbours alone say of each
+    state, and the expected moves."""
     b, t, k = emit.shape
-    lse = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
-    fwd, bwd = np.zeros_like(emit), np.zeros_like(emit)
+    e = np.exp(emit - emit.max(axis=2, keepdims=True))
+    come, bwd = np.empty_like(e), np.ones_like(e)  # before and after a reading
+    step = lambda x, m: np.einsum("bi,bij->bj", x, m)
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    moves = np.zeros((b, k, k))
     if t == 0:
-        return emit
-    fwd[:, 0] = START + emit[:, 0]
+        return e, e, moves
+    come[:, 0] = START
     for i in range(1, t):
-        fwd[:, i] = lse(fwd[:, i - 1, :, None] + MOVE, 1) + emit[:, i]
+        come[:, i] = step(norm(come[:, i - 1] * e[:, i - 1]), move)
+    back = move.transpose(0, 2, 1)
     for i in range(t - 2, -1, -1):
-        step = lse(MOVE + (emit[:, i + 1] + bwd[:, i + 1])[:, None, :], 2)
-        bwd[:, i] = np.where((i + 1 < length)[:, None], step, 0.0)
-    post = fwd + bwd
-    post -= post.max(axis=2, keepdims=True)
-    post = np.exp(post)
-    return post / post.sum(axis=2, keepdims=True)
+        bwd[:, i] = np.where((i + 1 < length)[:, None], norm(step(e[:, i + 1] * bwd[:, i + 1], back)), 1.0)
+    here = norm(come * e)
+    for i in range(t - 1):
+        pair = here[:, i, :, None] * move * (e[:, i + 1] * bwd[:, i + 1])[:, None, :]
+        moves += np.where((i + 1 < length)[:, None, None], pair / pair.sum(axis=(1, 2), keepdims=True), 0.0)
+    return norm(come * e * bwd), norm(come * bwd), moves
+
+
+def fit_moves(emit: np.ndarray, length: np.ndarray, tolerance: float = 0.01, most: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State posteriors, what the neighbours say, and moves of each series, its moves learned
+    by expectation-maximisation drawn to MOVE; rounds end for all when no probability of a
+    move changes by more than ``tolerance``, at the latest after ``most``."""
+    move = np.repeat(MOVE[None], len(emit), axis=0)
+    for _ in range(most):
+        post, context, moves = forward_backward(emit, length, move)
+        new = WEIGHT * MOVE + moves
+        new /= new.sum(axis=2, keepdims=True)
+        change = float(np.abs(new - move).max(initial=0.0))
+        move = new
+        if change <= tolerance:
+            break
+    return post, context, move
 
 
 def deviations(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +102,6 @@ def deviations(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad = np.full((b, NEAR), np.nan)
     wide = np.hstack([pad, level, pad])
     with np.errstate(all="ignore"):
-        import warnings
-
         warnings.simplefilter("ignore")
         sides = []
         for offsets in (range(-NEAR, 0), range(1, NEAR + 1)):
@@ -104,209 +129,199 @@ def runs(series: np.ndarray, value: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return np.bincount(run)[run]
 
 
-def judge(sid: np.ndarray, t: np.ndarray, bins: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, season: np.ndarray, periods: int, series: int) -> pd.DataFrame:
-    """Flags of binned readings: (sid, bin, spike, stuck, value, unsure, seen), masks of periods.
+def judge(sid: np.ndarray, t: np.ndarray, bins: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, course: np.ndarray, series: int) -> pd.DataFrame:
+    """Flags of the binned readings of ``series`` sources: (sid, t, bin, flag, value, pos).
 
-    ``season`` is (series, periods): the kind's common course.  ``value`` is the stuck
-    value; ``unsure`` marks bins of more than two readings which may hide a stuck value.
+    ``course`` is the kind's common course at each row.  ``value`` is the stuck value and
+    ``pos`` the number of the period among the source's periods with readings; 'unsure'
+    marks runs of bins of more than two readings which may hide a stuck value.
     """
     order = np.lexsort((bins, t, sid))
-    sid, t, bins, n, lo, hi = (x[order] for x in (sid, t, bins, n, lo, hi))
-    cell = sid * periods + t
+    sid, t, bins, n, lo, hi, course = (x[order] for x in (sid, t, bins, n, lo, hi, course))
+    if not len(sid):
+        return pd.DataFrame({"sid": [], "t": [], "bin": [], "flag": [], "value": [], "pos": []})
+    # Periods with readings: left-aligned sequences.
+    new = np.r_[True, (sid[1:] != sid[:-1]) | (t[1:] != t[:-1])]
+    cell = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    owner = sid[first]
+    length = np.bincount(owner, minlength=series)
+    place = np.arange(len(first)) - (np.cumsum(length) - length)[owner]
+    pos = place[cell]
+    width = int(length.max())
     ok = bins != OUT
-    seen = np.zeros(series * periods, bool)
-    seen[cell] = True
-    seen = seen.reshape(series, periods)
     # The weighted median of each period's readings.
-    c, at, w = cell[ok], bins[ok] / BINS, n[ok].astype(float)
-    middle = np.full(series * periods, np.nan)
-    spread = np.full(series, 0.0)
+    at, w, c = bins[ok] / BINS, n[ok].astype(float), cell[ok]
+    middle, spread = np.full(len(first), np.nan), np.zeros(series)
     if len(c):
-        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        total = np.add.reduceat(w, first)
-        k = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(c)]))
-        upto = np.cumsum(w) - np.repeat(np.cumsum(total) - total, np.diff(np.r_[first, len(c)]))
+        begin = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        size = np.diff(np.r_[begin, len(c)])
+        total = np.add.reduceat(w, begin)
+        k = np.repeat(np.arange(len(begin)), size)
+        upto = np.cumsum(w) - np.repeat(np.cumsum(total) - total, size)
         half = total[k] / 2
-        low = pd.Series(np.where(upto >= half - 1e-9, at, np.inf)).groupby(k).min().to_numpy()
-        high = pd.Series(np.where(upto - w <= half + 1e-9, at, -np.inf)).groupby(k).max().to_numpy()
-        middle[c[first]] = (low + high) / 2
-        off = np.abs(at - middle[c])
+        low = np.minimum.reduceat(np.where(upto >= half - 1e-9, at, np.inf), begin)
+        high = np.maximum.reduceat(np.where(upto - w <= half + 1e-9, at, -np.inf), begin)
+        middle[c[begin]] = (low + high) / 2
         many = total[k] >= 8
         if many.any():  # the spread of readings within a period, where it has many
-            s = pd.DataFrame({"s": sid[ok][many], "o": off[many], "w": w[many]}).sort_values(["s", "o"], kind="stable")
+            s = pd.DataFrame({"s": sid[ok][many], "o": np.abs(at - middle[c])[many], "w": w[many]}).sort_values(["s", "o"], kind="stable")
             run = s.groupby("s")["w"].cumsum() / s.groupby("s")["w"].transform("sum")
             got = s[run >= 0.5].groupby("s")["o"].first()
             spread[got.index.to_numpy()] = 1.4826 * got.to_numpy() + 0.5 / BINS
-    level = middle.reshape(series, periods) - season
-    # Left-aligned sequences of the periods with readings.
-    length = seen.sum(axis=1)
-    width = int(length.max()) if series else 0
-    pos = np.cumsum(seen, axis=1) - 1
-    rows, cols = np.nonzero(seen)
     packed = np.full((series, width), np.nan)
-    packed[rows, pos[rows, cols]] = level[rows, cols]
+    packed[owner, place] = middle - course[first]
     dev, noise = deviations(packed)
     # Equal values in successive readings: a bin of up to two readings holds lo and hi only.
-    e = np.unique(np.concatenate([np.stack([sid[ok].astype(float), v[ok], pos[sid[ok], t[ok]].astype(float)]) for v in (lo, hi)], axis=1), axis=1)
+    e = np.unique(np.concatenate([np.stack([sid[ok].astype(float), v[ok], pos[ok].astype(float)]) for v in (lo, hi)], axis=1), axis=1)
     es, ev, ep = e[0].astype(int), e[1], e[2].astype(int)
     run = runs(es, ev, ep)
     equal = np.zeros((series, width), bool)
     equal[es[run >= 2], ep[run >= 2]] = True
-    empty = np.isnan(packed)
+    post, context, move = fit_moves(emissions(dev, noise[:, None], equal, np.isnan(packed)), length)
+    spiky, held = post[..., 1] > 0.5, post[..., 2] > 0.5
+    # Each bin against the level of its period without the spike, given the periods around.
+    expect = middle - np.where(spiky[owner, place], dev[owner, place], 0.0)
+    off = bins[ok] / BINS - expect[c]
+    os, op = sid[ok], pos[ok]
+    odds = np.log(context[os, op] + 1e-300) + emissions(off, np.maximum(noise, spread)[os], equal[os, op], np.zeros(len(off), bool))
+    rows = np.flatnonzero(ok)[(odds.argmax(axis=1) == 1) & (odds[:, 1] > np.logaddexp.reduce(odds[:, [0, 2, 3]], axis=1))]
+    flags = [pd.DataFrame({"sid": sid[rows], "t": t[rows], "bin": bins[rows], "flag": "spike", "value": np.nan, "pos": pos[rows]})]
+    long = (run >= STUCK) & held[es, ep]
+    periods = t[first]
+    start = np.cumsum(length) - length
+    flags.append(pd.DataFrame({"sid": es[long], "t": periods[start[es[long]] + ep[long]], "bin": np.floor(np.log(ev[long]) * BINS + 0.5).astype(int), "flag": "stuck", "value": ev[long], "pos": ep[long]}))
+    u = np.lexsort((pos, bins, sid))
+    u = u[ok[u]]
+    if len(u):
+        ur = runs(sid[u], bins[u], pos[u])
+        hides = pd.Series((n[u] > 2) & (lo[u] < hi[u])).groupby([sid[u], bins[u]]).transform("any").to_numpy(dtype=bool)
+        u = u[(ur >= STUCK) & hides]
+    flags.append(pd.DataFrame({"sid": sid[u], "t": t[u], "bin": bins[u], "flag": "unsure", "value": np.nan, "pos": pos[u]}))
+    return pd.concat([f for f in flags if len(f)] or flags[:1])
+
+
+def emissions(dev: np.ndarray, noise: np.ndarray, equal: np.ndarray, empty: np.ndarray) -> np.ndarray:
+    """Log emissions of the four states: ``equal`` readings repeat their neighbour's value,
+    ``empty`` ones have no value in range."""
     eq = np.where(equal, np.log(1e-4), 0.0)
-    emit = np.stack([
-        np.where(empty, -9.0, log_normal_state(dev, noise[:, None]) + eq),
+    return np.stack([
+        np.where(empty, -9.0, log_normal_state(dev, noise) + eq),
         np.where(empty, -9.0, log_spike_state(dev) + eq),
-        np.where(empty, -9.0, log_normal_state(dev, np.maximum(noise, 0.1)[:, None]) + np.where(equal, -0.01, np.log(1e-6))),
+        np.where(empty, -9.0, log_normal_state(dev, np.maximum(noise, 0.1)) + np.where(equal, -0.01, np.log(1e-6))),
         np.where(empty, -0.01, -16.0),
-    ], axis=2)
-    post = forward_backward(emit, length)
-    spiky, held = np.zeros((series, periods), bool), np.zeros((series, periods), bool)
-    shift = np.zeros((series, periods))
-    got = post[rows, pos[rows, cols]]
-    spiky[rows, cols], held[rows, cols] = got[:, 1] > 0.5, got[:, 2] > 0.5
-    shift[rows, cols] = dev[rows, pos[rows, cols]]
-    # Each bin against the level of its period without the spike.
-    expect = middle.reshape(series, periods) - np.where(spiky, shift, 0.0)
-    off = bins / BINS - expect[sid, t]
-    s = np.maximum(noise, spread)[sid]
-    single = START[1] + log_spike_state(off) > START[0] + log_normal_state(off, s)
-    spike = ok & (spiky[sid, t] & (np.abs(off) > LEAST) | ~spiky[sid, t] & single)
-    bit = lambda x: np.left_shift(np.int64(1), x.astype(np.int64))
-    out = [pd.DataFrame({"sid": sid[spike], "bin": bins[spike], "spike": bit(t[spike]), "stuck": 0, "value": 0.0, "unsure": 0})]
-    back = np.zeros((series, max(width, 1)), int)
-    back[rows, pos[rows, cols]] = cols
-    long = (run >= STUCK) & held[es, back[es, ep]]
-    out.append(pd.DataFrame({"sid": es[long], "bin": np.round(np.log(ev[long]) * BINS).astype(int), "spike": 0, "stuck": bit(back[es[long], ep[long]]), "value": ev[long], "unsure": 0}))
-    u = np.lexsort((pos[sid, t], bins, sid))
-    u = u[ok[u]]
-    ur = runs(sid[u], bins[u], pos[sid[u], t[u]])
-    hides = pd.Series((n[u] > 2) & (lo[u] < hi[u])).groupby([sid[u], bins[u]]).transform("any").to_numpy(dtype=bool) if len(u) else np.zeros(0, bool)
-    u = u[(ur >= STUCK) & hides]
-    out.append(pd.DataFrame({"sid": sid[u], "bin": bins[u], "spike": 0, "stuck": 0, "value": 0.0, "unsure": bit(t[u])}))
-    flags = pd.concat(out).groupby(["sid", "bin", "value"], as_index=False)[["spike", "stuck", "unsure"]].sum()
-    flags["seen"] = (seen * bit(np.arange(periods))).sum(axis=1)[flags["sid"]]
-    return flags
+    ], axis=-1)
 
 
-def _judge_batches(batches: Iterator[pa.RecordBatch], courses: dict, kind: int, periods: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    flat = np.zeros(periods)
+def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cells = batch.column(len(names))
+        cells = batch.column(1)
         sizes = np.diff(cells.offsets.to_numpy())
         e = cells.flatten()
-        col = lambda k: e.field(k).to_numpy(zero_copy_only=False)
-        season = np.array([courses.get(x, flat) for x in batch.column(kind).to_pylist()]).reshape(-1, periods)
-        f = judge(np.repeat(np.arange(len(sizes)), sizes), col(0).astype(np.int64), col(1).astype(np.int64), col(2), col(3), col(4), season, periods, len(sizes))
-        take = pa.array(f["sid"].to_numpy())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(i).take(take) for i in range(len(names))]
-            + [pa.array(f[c].to_numpy().astype(d)) for c, d in (("bin", "int32"), ("value", "float64"), ("spike", "int64"), ("stuck", "int64"), ("unsure", "int64"), ("seen", "int64"))],
-            names=[*names, "_bin", "_value", "_spike", "_stuck", "_unsure", "_seen"],
-        )
-
-
-def stuck_periods(mask: np.ndarray, seen: np.ndarray, periods: int) -> np.ndarray:
-    """Of each mask of periods, those in a run of STUCK successive seen periods."""
-    out = np.zeros(len(mask), np.int64)
-    run = np.zeros(len(mask), int)
-    held = np.zeros(len(mask), np.int64)
-    for p in range(periods + 1):
-        bit = np.int64(1) << p
-        is_seen, on = ((seen & bit) != 0) if p < periods else np.ones(len(mask), bool), ((mask & bit) != 0) if p < periods else np.zeros(len(mask), bool)
-        run = np.where(on, run + 1, run)
-        held = np.where(on, held | bit, held)
-        over = is_seen & ~on
-        out = np.where(over & (run >= STUCK), out | held, out)
-        run, held = np.where(over, 0, run), np.where(over, 0, held)
-    return out
-
-
-def implausible_readings(
-    readings: DataFrame, row_id: str, source: list[str], kind: str, bucket: Column, value: str, periods: int
-) -> DataFrame:
+        col = [e.field(k).to_numpy(zero_copy_only=False) for k in range(6)]
+        ends = np.cumsum(sizes)
+        order = np.argsort(sizes, kind="stable")  # sources of like length together, so padding stays small
+        k = 0
+        while k < len(order):
+            m = max(1, int(np.searchsorted(np.arange(1, len(order) - k + 1) * np.maximum(sizes[order[k:]], 1), CELLS, "right")))
+            some = np.sort(order[k : k + m])
+            at = np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in some])
+            f = judge(np.repeat(np.arange(len(some)), sizes[some]), *[c[at].astype(np.int64) if x < 2 else c[at] for x, c in enumerate(col)], len(some))
+            k += m
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(some[f["sid"].to_numpy().astype(np.int64)]))]
+                + [pa.array(f[c].to_numpy(), d, from_pandas=True) for c, d in (("t", pa.int32()), ("bin", pa.int32()), ("flag", pa.string()), ("value", pa.float64()), ("pos", pa.int32()))],
+                names=["_k", "_t", "_bin", "_flag", "_value", "_pos"],
+            )
+
+
+def held_positions(positions: np.ndarray) -> np.ndarray:
+    """Of the sorted positions at which one value stands, those in a run of at least STUCK
+    successive ones that the chain takes for stuck."""
+    p = np.asarray(positions)
+    lone = np.zeros(len(p))
+    keep = p[runs(lone, lone, p) >= STUCK]
+    if not len(keep):
+        return keep
+    at = np.arange(keep[0] - 2, keep[-1] + 3)
+    equal = np.isin(at, p)
+    emit = emissions(np.zeros(len(at)), np.full(len(at), DEFAULT), equal, np.zeros(len(at), bool))
+    post = fit_moves(emit[None], np.array([len(at)]))[0][0]
+    return keep[post[keep - at[0], 2] > 0.5]
+
+
+def implausible_readings(readings: DataFrame, row_id: str, source: list[str], kind: str, bucket: Column, value: str) -> DataFrame:
     """Readings that are implausible for their own source: (row_id, flag), rows distinct.
 
     ``flag`` is 'out_of_range' (zero, negative, infinite, or more than BEYOND times the
-    99.9 % quantile of the readings of its ``kind``), 'spike' or 'stuck'.  ``bucket``
-    gives a reading's period, 0 to ``periods`` - 1 (at most 60), or null: such readings
-    meet the hard bounds only.  Null and NaN values are no readings.  ``kind`` is one of
-    the source columns; nulls in source columns form sources of their own.  An empty
-    table gives no row, and columns beyond those named are never touched.
-
-    A hidden Markov model per source (normal, spike, stuck, out of range) gives each
-    period's state probabilities by the forward-backward algorithm.  The model sees each
-    source through its binned log values, at most a bounded number of bins per period, so
-    a source with any number of readings stays small; its flags then select readings by
-    source and bin.  Bins that may hide a stuck value among many readings are settled
-    exactly on those readings.
+    99.9 % quantile of the readings of its ``kind`` in its highest period), 'spike' or
+    'stuck'.  ``bucket`` gives a reading's period, an INT, or null: such readings meet the
+    hard bounds only.  Null and NaN values are no readings.  ``kind`` is one of the source
+    columns; nulls in source columns form sources of their own.  An empty table gives no
+    row, and columns beyond those named are never touched.
+
+    A hidden Markov model per source (normal, spike, stuck, out of range), whose moves are
+    learned from the source, gives each period's state probabilities by the forward-
+    backward algorithm, and each reading's by its own emission and what the periods around
+    it say.  The model sees each source through its binned log values, of which a period has
+    a bounded number, so a source with any number of readings stays small; its flags then
+    select readings by source, period and bin.  Bins that may hide a stuck value among many
+    readings are settled on the positions of each value in them, by the same chain.
     """
-    keys = [f"_s{i}" for i in range(len(source))]
     base = readings.select(
         F.col(row_id).alias("_id"),
-        *[F.col(s).alias(k) for s, k in zip(source, keys)],
+        F.struct(*[F.col(s).alias(f"s{i}") for i, s in enumerate(source)]).alias("_k"),  # structs compare null with null
         bucket.cast("int").alias("_t"),
         F.col(value).cast("double").alias("_v"),
     ).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    kind_key = keys[source.index(kind)]
-    log = F.log(F.when(F.col("_v") > 0, F.col("_v")))
-    # One row per kind and period: the common course and the hard bound.
-    norm = (
-        base.where("_t is not null and _v > 0").groupBy(kind_key, "_t")
-        .agg(F.percentile_approx(log, [0.5, 0.999], 2000).alias("q"), F.count("*").alias("n")).collect()
+    of_kind = F.struct(F.col(f"_k.s{source.index(kind)}"))
+    none = (F.col("_v") <= 0) | (F.col("_v") == math.inf)
+    base = base.withColumn("_bin", F.when(none, OUT).otherwise(F.floor(F.log(F.when(~none, F.col("_v"))) * BINS + 0.5)).cast("int"))
+    cells = base.where("_t is not null").groupBy("_k", "_t", "_bin").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    # One row per kind and period: the common course and the hard bound.  The histogram asks
+    # for all columns of the cells, so that their one exchange serves it, too.
+    histogram = (
+        cells.where(F.col("_bin") != OUT).groupBy(of_kind.alias("_g"), "_t", "_bin").agg(F.sum("n").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+        .where("lo is not null and hi is not null").drop("lo", "hi")
     )
-    courses: dict = {}
-    bounds: dict = {}
-    for r in norm:
-        courses.setdefault(r[kind_key], np.full(periods, np.nan))[r["_t"]] = r["q"][0]
-        bounds[r[kind_key]] = max(bounds.get(r[kind_key], -math.inf), r["q"][1])
-    courses = {k: np.nan_to_num(c - np.nanmean(c)) for k, c in courses.items()}
-    limit = F.lit(math.inf)
-    for k, b in bounds.items():
-        limit = F.when(F.col(kind_key).eqNullSafe(F.lit(k)), F.lit(math.exp(b) * BEYOND)).otherwise(limit)
-    beyond = (F.col("_v") <= 0) | (F.col("_v") > limit) | (F.col("_v") == math.inf)
-    binned = base.withColumn("_bin", F.when(beyond, OUT).otherwise(F.round(log * BINS)).cast("int"))
+    w = Window.partitionBy("_g", "_t")
+    run = histogram.withColumns({"upto": F.sum("n").over(w.orderBy("_bin")), "all": F.sum("n").over(w)})
+    quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("_bin")))
+    norm = run.groupBy("_g", "_t").agg(quantile(0.5).alias("q"), quantile(0.999).alias("top"))
+    by_kind = Window.partitionBy("_g")
+    norm = cut(norm.select(
+        "_g", "_t", ((F.col("q") - F.avg("q").over(by_kind)) / BINS).alias("course"),
+        (F.max("top").over(by_kind) + math.ceil(math.log(BEYOND) * BINS)).alias("limit"),
+    ))
+    beside = norm.select(F.col("_g").alias("g"), F.col("_t").alias("gt"), "course", "limit")
     series = (
-        binned.where("_t is not null").groupBy(*keys, "_t", "_bin")
-        .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-        .groupBy(*keys).agg(F.collect_list(F.struct("_t", F.col("_bin").alias("b"), "n", "lo", "hi")).alias("cells"))
+        cells.join(beside, (of_kind == F.col("g")) & (F.col("_t") == F.col("gt")), "left")
+        .select("_k", F.struct("_t", F.when(F.col("_bin") > F.col("limit"), OUT).otherwise(F.col("_bin")).alias("b"), "n", "lo", "hi", F.coalesce("course", F.lit(0.0)).alias("course")).alias("cell"))
+        .groupBy("_k").agg(F.collect_list("cell").alias("cells"))
     )
-    schema = StructType(
-        [StructField(k, base.schema[k].dataType) for k in keys]
-        + [StructField("_bin", IntegerType())]
-    ).add("_value", "double")
-    for c in ("_spike", "_stuck", "_unsure", "_seen"):
-        schema = schema.add(StructField(c, LongType()))
-    at = keys.index(kind_key)
-    flags = series.mapInArrow(lambda it: _judge_batches(it, courses, at, periods, keys), schema)
-    flags = flags.select(*[F.col(k).alias("f" + k) for k in [*keys, "_bin"]], *[c for c in flags.columns if c not in (*keys, "_bin")])
-    same = [F.col(k).eqNullSafe(F.col("f" + k)) if k != "_bin" else F.col("_bin") == F.col("f_bin") for k in [*keys, "_bin"]]
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_t"))
-    on = lambda c: F.col(c).bitwiseAND(F.col("_bit")) != 0
+    flagged = [("_t", IntegerType()), ("_bin", IntegerType()), ("_flag", StringType()), ("_value", DoubleType()), ("_pos", IntegerType())]
+    schema = StructType([base.schema["_k"], *[StructField(n, t) for n, t in flagged]])
+    flags = series.mapInArrow(_judge_batches, schema).select(F.col("_k").alias("fk"), F.col("_t").alias("ft"), F.col("_bin").alias("fb"), "_flag", "_value", "_pos")
     hits = cut(
-        binned.where("_t is not null").withColumn("_bit", bit).join(flags, same)
-        .select("_id", *keys, "_v", "_bit", "_seen", on("_spike").alias("spike"), (on("_stuck") & (F.col("_v") == F.col("_value"))).alias("stuck"), on("_unsure").alias("unsure"))
-        .where("spike or stuck or unsure")
+        base.where("_t is not null").join(flags, (F.col("_k") == F.col("fk")) & (F.col("_t") == F.col("ft")) & (F.col("_bin") == F.col("fb")))
+        .where((F.col("_flag") != "stuck") | (F.col("_v") == F.col("_value"))).select("_id", "_k", "_v", "_flag", "_pos")
     )
+    limits = norm.groupBy("_g").agg(F.first("limit").alias("limit"))  # one row per kind
+    out = base.join(limits, of_kind == F.col("_g"), "left").where((F.col("_bin") == OUT) | (F.col("_bin") > F.col("limit")))
 
-    @F.pandas_udf("bigint")
-    def settled(mask: pd.Series, seen: pd.Series) -> pd.Series:
-        return pd.Series(stuck_periods(mask.to_numpy(), seen.to_numpy(), periods))
+    @F.pandas_udf("array<int>")
+    def settled(positions: pd.Series) -> pd.Series:
+        return positions.map(held_positions)
 
-    unsure = hits.where("unsure")
-    masks = (
-        unsure.groupBy(*keys, "_v").agg(F.bit_or("_bit").alias("m"), F.first("_seen").alias("seen"))
-        .where(F.bit_count("m") >= STUCK)
-        .select(*[F.col(k).alias("m" + k) for k in keys], F.col("_v").alias("m_v"), settled("m", "seen").alias("m"))
-        .where("m != 0")
-    )
-    hidden = unsure.join(
-        masks, [*[F.col(k).eqNullSafe(F.col("m" + k)) for k in keys], F.col("_v") == F.col("m_v"), F.col("m").bitwiseAND(F.col("_bit")) != 0], "left_semi"
+    unsure = hits.where("_flag = 'unsure'")
+    held = (
+        unsure.groupBy("_k", "_v").agg(F.array_sort(F.collect_set("_pos")).alias("p")).where(F.size("p") >= STUCK)
+        .select(F.col("_k").alias("hk"), F.col("_v").alias("hv"), F.explode(settled("p")).alias("hp"))
     )
+    hidden = unsure.join(held, (F.col("_k") == F.col("hk")) & (F.col("_v") == F.col("hv")) & (F.col("_pos") == F.col("hp")), "left_semi")
     found = (
-        binned.where(F.col("_bin") == OUT).select("_id", F.lit("out_of_range").alias("flag"))
-        .unionByName(hits.where("spike").select("_id", F.lit("spike").alias("flag")))
-        .unionByName(hits.where("stuck").select("_id", F.lit("stuck").alias("flag")))
+        out.select("_id", F.lit("out_of_range").alias("flag"))
+        .unionByName(hits.where("_flag != 'unsure'").select("_id", F.col("_flag").alias("flag")))
         .unionByName(hidden.select("_id", F.lit("stuck").alias("flag")))
     )
     return found.select(F.col("_id").alias(row_id), "flag").distinct()

@@ -81,7 +81,7 @@ def p4_periods(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Implausible readings of consumption."""
     return implausible_readings(
-        table(spark, d, "consumption"), "obs_id", ["territory_id", "category"], "category", month_index(F.col("date")), "value", 24
+        table(spark, d, "consumption"), "obs_id", ["territory_id", "category"], "category", month_index(F.col("date")), "value"
     ).select("obs_id").distinct()
 
 QUERIES = {
