@@ -35,6 +35,10 @@ MOVE = np.array([[0.985, 0.008, 0.005, 0.002], [0.79, 0.20, 0.005, 0.005], [0.10
 WEIGHT = 20.0
 #: Most cells that are filtered at once.
 CELLS = 400_000
+#: The period of readings without one.
+NEVER = -(2**31)
+#: Most kinds x periods (some 50 bytes each) that are sent to every task; more meet the cells in a shuffle.
+SMALL = 200_000
 
 
 def _gauss(x: np.ndarray, s: np.ndarray | float) -> np.ndarray:
@@ -216,9 +220,15 @@ def emissions(dev: np.ndarray, noise: np.ndarray, equal: np.ndarray, empty: np.n
 def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cells = batch.column(1)
-        sizes = np.diff(cells.offsets.to_numpy())
         e = cells.flatten()
-        col = [e.field(k).to_numpy(zero_copy_only=False) for k in range(6)]
+        t, bins, n, lo, hi, course, over = (e.field(k).to_numpy(zero_copy_only=False) for k in range(7))
+        owner = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+        raw, bins = bins, np.where(over, OUT, bins).astype(np.int64)
+        none = bins == OUT
+        found = [pd.DataFrame({"sid": owner[none], "t": t[none], "bin": raw[none], "flag": "out_of_range", "value": np.nan, "pos": 0})]
+        timed = t != NEVER
+        owner, t, bins, n, lo, hi, course = (x[timed] for x in (owner, t.astype(np.int64), bins, n, lo, hi, course))
+        sizes = np.bincount(owner, minlength=len(cells))
         ends = np.cumsum(sizes)
         order = np.argsort(sizes, kind="stable")  # sources of like length together, so padding stays small
         k = 0
@@ -226,13 +236,15 @@ def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             m = max(1, int(np.searchsorted(np.arange(1, len(order) - k + 1) * np.maximum(sizes[order[k:]], 1), CELLS, "right")))
             some = np.sort(order[k : k + m])
             at = np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in some])
-            f = judge(np.repeat(np.arange(len(some)), sizes[some]), *[c[at].astype(np.int64) if x < 2 else c[at] for x, c in enumerate(col)], len(some))
+            f = judge(np.repeat(np.arange(len(some)), sizes[some]), *[x[at] for x in (t, bins, n, lo, hi, course)], len(some))
+            found.append(f.assign(sid=some[f["sid"].to_numpy().astype(np.int64)]))
             k += m
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(some[f["sid"].to_numpy().astype(np.int64)]))]
-                + [pa.array(f[c].to_numpy(), d, from_pandas=True) for c, d in (("t", pa.int32()), ("bin", pa.int32()), ("flag", pa.string()), ("value", pa.float64()), ("pos", pa.int32()))],
-                names=["_k", "_t", "_bin", "_flag", "_value", "_pos"],
-            )
+        f = pd.concat([x for x in found if len(x)] or found[:1])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(f["sid"].to_numpy().astype(np.int64)))]
+            + [pa.array(f[c].to_numpy(), d, from_pandas=True) for c, d in (("t", pa.int32()), ("bin", pa.int32()), ("flag", pa.string()), ("value", pa.float64()), ("pos", pa.int32()))],
+            names=["_k", "_t", "_bin", "_flag", "_value", "_pos"],
+        )
 
 
 def held_positions(positions: np.ndarray) -> np.ndarray:
@@ -271,43 +283,42 @@ def implausible_readings(readings: DataFrame, row_id: str, source: list[str], ki
     base = readings.select(
         F.col(row_id).alias("_id"),
         F.struct(*[F.col(s).alias(f"s{i}") for i, s in enumerate(source)]).alias("_k"),  # structs compare null with null
-        bucket.cast("int").alias("_t"),
+        F.coalesce(bucket.cast("int"), F.lit(NEVER)).alias("_t"),  # no filter, which would read the bucket twice
         F.col(value).cast("double").alias("_v"),
     ).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     of_kind = F.struct(F.col(f"_k.s{source.index(kind)}"))
     none = (F.col("_v") <= 0) | (F.col("_v") == math.inf)
     base = base.withColumn("_bin", F.when(none, OUT).otherwise(F.floor(F.log(F.when(~none, F.col("_v"))) * BINS + 0.5)).cast("int"))
-    cells = base.where("_t is not null").groupBy("_k", "_t", "_bin").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    # One row per kind and period: the common course and the hard bound.  The histogram asks
-    # for all columns of the cells, so that their one exchange serves it, too.
-    histogram = (
-        cells.where(F.col("_bin") != OUT).groupBy(of_kind.alias("_g"), "_t", "_bin").agg(F.sum("n").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-        .where("lo is not null and hi is not null").drop("lo", "hi")
-    )
+    # One row per kind and period: the common course and the hard bound.
+    one = F.xxhash64("_k")
+    histogram = base.groupBy(of_kind.alias("_g"), "_t", "_bin").agg(F.count("*").alias("n"), F.min(one).alias("a"), F.max(one).alias("z"))
+    histogram = cut(histogram).where((F.col("_t") != NEVER) & (F.col("_bin") != OUT))
     w = Window.partitionBy("_g", "_t")
     run = histogram.withColumns({"upto": F.sum("n").over(w.orderBy("_bin")), "all": F.sum("n").over(w)})
     quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("_bin")))
-    norm = run.groupBy("_g", "_t").agg(quantile(0.5).alias("q"), quantile(0.999).alias("top"))
+    norm = run.groupBy("_g", "_t").agg(quantile(0.5).alias("q"), quantile(0.999).alias("top"), F.min("a").alias("a"), F.max("z").alias("z"))
     by_kind = Window.partitionBy("_g")
+    alone = F.min("a").over(by_kind) == F.max("z").over(by_kind)  # one source is no common course
     norm = cut(norm.select(
-        "_g", "_t", ((F.col("q") - F.avg("q").over(by_kind)) / BINS).alias("course"),
+        F.col("_g").alias("g"), F.col("_t").alias("gt"), F.when(alone, 0.0).otherwise((F.col("q") - F.avg("q").over(by_kind)) / BINS).alias("course"),
         (F.max("top").over(by_kind) + math.ceil(math.log(BEYOND) * BINS)).alias("limit"),
     ))
-    beside = norm.select(F.col("_g").alias("g"), F.col("_t").alias("gt"), "course", "limit")
+    hard = norm.groupBy("g").agg(F.first("limit").alias("limit")).select("g", F.lit(NEVER).alias("gt"), F.lit(0.0).alias("course"), "limit")
+    norm = norm.unionByName(hard)
+    small = norm.count() <= SMALL
+    cells = base.groupBy("_k", "_t", "_bin").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     series = (
-        cells.join(beside, (of_kind == F.col("g")) & (F.col("_t") == F.col("gt")), "left")
-        .select("_k", F.struct("_t", F.when(F.col("_bin") > F.col("limit"), OUT).otherwise(F.col("_bin")).alias("b"), "n", "lo", "hi", F.coalesce("course", F.lit(0.0)).alias("course")).alias("cell"))
+        cells.join(F.broadcast(norm) if small else norm, (of_kind == F.col("g")) & (F.col("_t") == F.col("gt")), "left")
+        .select("_k", F.struct("_t", "_bin", "n", "lo", "hi", F.coalesce("course", F.lit(0.0)).alias("course"), F.coalesce(F.col("_bin") > F.col("limit"), F.lit(False)).alias("over")).alias("cell"))
         .groupBy("_k").agg(F.collect_list("cell").alias("cells"))
     )
     flagged = [("_t", IntegerType()), ("_bin", IntegerType()), ("_flag", StringType()), ("_value", DoubleType()), ("_pos", IntegerType())]
     schema = StructType([base.schema["_k"], *[StructField(n, t) for n, t in flagged]])
     flags = series.mapInArrow(_judge_batches, schema).select(F.col("_k").alias("fk"), F.col("_t").alias("ft"), F.col("_bin").alias("fb"), "_flag", "_value", "_pos")
     hits = cut(
-        base.where("_t is not null").join(flags, (F.col("_k") == F.col("fk")) & (F.col("_t") == F.col("ft")) & (F.col("_bin") == F.col("fb")))
-        .where((F.col("_flag") != "stuck") | (F.col("_v") == F.col("_value"))).select("_id", "_k", "_v", "_flag", "_pos")
+        base.join(flags, (F.col("_k") == F.col("fk")) & (F.col("_t") == F.col("ft")) & (F.col("_bin") == F.col("fb")))
+        .where("_flag != 'stuck' or _v = _value").select("_id", "_k", "_v", "_flag", "_pos")
     )
-    limits = norm.groupBy("_g").agg(F.first("limit").alias("limit"))  # one row per kind
-    out = base.join(limits, of_kind == F.col("_g"), "left").where((F.col("_bin") == OUT) | (F.col("_bin") > F.col("limit")))
 
     @F.pandas_udf("array<int>")
     def settled(positions: pd.Series) -> pd.Series:
@@ -319,9 +330,5 @@ def implausible_readings(readings: DataFrame, row_id: str, source: list[str], ki
         .select(F.col("_k").alias("hk"), F.col("_v").alias("hv"), F.explode(settled("p")).alias("hp"))
     )
     hidden = unsure.join(held, (F.col("_k") == F.col("hk")) & (F.col("_v") == F.col("hv")) & (F.col("_pos") == F.col("hp")), "left_semi")
-    found = (
-        out.select("_id", F.lit("out_of_range").alias("flag"))
-        .unionByName(hits.where("_flag != 'unsure'").select("_id", F.col("_flag").alias("flag")))
-        .unionByName(hidden.select("_id", F.lit("stuck").alias("flag")))
-    )
+    found = hits.where("_flag != 'unsure'").select("_id", F.col("_flag").alias("flag")).unionByName(hidden.select("_id", F.lit("stuck").alias("flag")))
     return found.select(F.col("_id").alias(row_id), "flag").distinct()
