@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The bucket of readings without one.
+NEVER = -(2**31)
+
 
 def regular_grid(
     readings: DataFrame,
@@ -34,16 +37,17 @@ def regular_grid(
     usable = (
         readings.select(
             F.struct(*[F.col(s).alias(f"s{i}") for i, s in enumerate(source)]).alias("_k"),
-            bucket.cast("int").alias("_b"),
+            F.coalesce(bucket.cast("int"), F.lit(NEVER)).alias("_b"),
             F.col(value).cast("double").alias("_v"),
             F.col(arrived).alias("_a"),
         )
-        .where(F.col("_b").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
+        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     )
+    # Unusable buckets go after the aggregation: before it the filter would read each bucket twice.
     read = usable.groupBy("_k", "_b").agg(
-        F.count("*").alias("_n"),
+        F.count(F.when(F.col("_b") != NEVER, 1)).alias("_n"),
         F.max(F.struct("_a", "_v"))["_v"].alias("_v"),
-    )
+    ).where("_n > 0")
     # Both uses of the aggregate ask for all its columns, so its one exchange serves both; the
     # readings' side keeps the partitioning of its aggregation and only the sequence moves.
     sequence = (
