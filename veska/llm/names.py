@@ -78,36 +78,62 @@ def grams(word: str) -> set[str]:
     return {w[i : i + 2] for i in range(len(w) - 1)}
 
 
-class Names:
-    """A canonical list with aliases: entries are (code, alias, kind), kind 'adjective' or 'noun'.
+_INFLECTED = re.compile(
+    "(?:ого|его|ому|ему|ыми|ими|ая|яя|ое|ее|ой|ей|ый|ий|ую|юю|ом|ем|ым|им|ою|ею|ам|ям|ах|ях|ов|а|я|о|е|у|ю|ы|и|ь|й"
+    "|ogo|ego|omu|emu|aya|yaya|oye|oe|oy|ey|yy|iy|uyu|om|em|ym|im|ya|yu|a|o|e|u|y|i)$"
+)
+
+
+def base(word: str) -> str:
+    """A word of a name of several words without its inflection."""
+    cut = _INFLECTED.sub("", word)
+    return cut if len(cut) > 2 else word
 
-    Embedded mentions are found by an Aho-Corasick automaton over the aliases' stems;
-    the longest of overlapping mentions wins.  A text without a mention goes to the
-    similarity of token sets: its words against aliases sharing most letter pairs, one
-    slip of the keyboard apart.
+
+class Names:
+    """A canonical list with aliases: entries are (code, words), the words of one alias as
+    (word, kind), kind 'adjective' (by its stem) or 'noun'.
+
+    Embedded mentions are found by an Aho-Corasick automaton over the aliases' first words;
+    an alias of several words needs all of them in order.  The longest mention wins (ties:
+    the first).  A text without a mention goes to the similarity of token sets: the share of
+    an alias's words that the text holds, a word one slip of the keyboard apart counting as
+    1 - 1 / its length.
     """
 
-    def __init__(self, entries: Iterable[tuple[int, str, str]]):
+    def __init__(self, entries: Iterable[tuple[int, tuple[tuple[str, str], ...]]]):
         self.codes: dict[tuple[str, str], set[int]] = defaultdict(set)
-        for code, alias, kind in entries:
-            for form in {alias, latin(alias)}:
-                self.codes[form, kind].add(code)
+        self.many: dict[str, list[tuple[tuple[str, ...], int]]] = defaultdict(list)
+        self.sets: list[tuple[tuple[str, ...], int]] = []
+        self.within: dict[str, set[int]] = defaultdict(set)
+        for code, parts in entries:
+            if len(parts) == 1:
+                for form in {parts[0][0], latin(parts[0][0])}:
+                    self.codes[form, parts[0][1]].add(code)
+                continue
+            for alias in {tuple(base(w) for w, _ in parts), tuple(base(latin(w)) for w, _ in parts)}:
+                self.many[alias[0]].append((alias[1:], code))
+                for w in alias:
+                    self.within[w].add(len(self.sets))
+                self.sets.append((alias, code))
+        self.single = {f for f, _ in self.codes}
         self.auto = ahocorasick.Automaton()
         self.index: dict[str, set[str]] = defaultdict(set)
         self.size: dict[str, int] = {}
-        self.seen: dict[tuple[str, str], set[int]] = {}
-        for form, _ in self.codes:
+        self.seen: dict[tuple[str, str], set] = {}
+        for form in self.single | set(self.many):
             self.auto.add_word(form, form)
+        for form in self.single | set(self.within):
             self.size[form] = len(grams(form))
             for g in grams(form):
                 self.index[g].add(form)
-        self.longest = max((len(f) for f, _ in self.codes), default=0)
-        if self.codes:
+        self.longest = max(map(len, self.size), default=0)
+        if self.size:
             self.auto.make_automaton()
 
-    def mentions(self, text: str) -> list[tuple[int, int, str, str]]:
-        """Non-overlapping (from, to, form, ending), longest first kept, in order."""
-        if not self.codes:
+    def mentions(self, text: str) -> list[tuple[int, int, str, str, int | None]]:
+        """(from, to, form, ending, code of a name of several words), the longest first."""
+        if not self.size:
             return []
         found = []
         for end, form in self.auto.iter(text):
@@ -115,36 +141,49 @@ class Names:
             if start and (text[start - 1].isalpha()):
                 continue
             rest = re.match(r"[^\W\d_]*", text[end + 1 :]).group(0)
-            if rest in _ENDINGS or rest in _NOUN_ENDINGS:
-                found.append((start, end + 1 + len(rest), form, rest))
-        found.sort(key=lambda m: (m[0] - m[1], m[0]))
-        kept: list[tuple[int, int, str, str]] = []
-        for m in found:
-            if all(m[1] <= k[0] or m[0] >= k[1] for k in kept):
-                kept.append(m)
-        return sorted(kept)
-
-    def similar(self, word: str, kind: str) -> set[int]:
-        """Codes of the aliases of a kind one slip away from the inflected word, found
-        among those that share most letter pairs."""
-        if (word, kind) in self.seen:
-            return self.seen[word, kind]
-        if len(self.seen) > 200_000:
-            self.seen.clear()
-        got: set[int] = set()
-        self.seen[word, kind] = got
+            if form in self.single and (rest in _ENDINGS or rest in _NOUN_ENDINGS):
+                found.append((start, end + 1 + len(rest), form, rest, None))
+            if form in self.many and base(form + rest) == form:
+                after = [m for _, m in zip(range(max(len(w) for w, _ in self.many[form])), _WORD.finditer(text, end + 1 + len(rest)))]
+                for others, code in self.many[form]:
+                    if len(after) >= len(others) and all(base(m.group(0).strip(".-")) == w for m, w in zip(after, others)):
+                        found.append((start, after[len(others) - 1].end(), form, rest, code))
+        return sorted(found, key=lambda m: (m[0] - m[1], m[0]))
+
+    def near_forms(self, word: str, ends: tuple[str, ...]) -> set[str]:
+        """Forms that the word equals, with one of the endings, up to one slip; found among
+        those that share most letter pairs."""
         if len(word) > self.longest + 6:
-            return got
+            return set()
         count: dict[str, int] = defaultdict(int)
         for x in grams(word):
             for form in self.index.get(x, ()):
                 count[form] += 1
-        for form, n in count.items():
-            if n >= self.size[form] - 5 and (form, kind) in self.codes and abs(len(word) - len(form)) < 5:
-                ends = _ENDINGS if kind == "adjective" else ("",)
-                if any(near(word, form + e) for e in ends):
-                    got |= self.codes[form, kind]
-        return got
+        return {f for f, n in count.items() if n >= self.size[f] - 5 and abs(len(word) - len(f)) < 5 and any(near(word, f + e) for e in ends)}
+
+    def similar(self, word: str, kind: str) -> set[int]:
+        """Codes of the aliases of one word of a kind one slip away from the inflected word."""
+        if (word, kind) not in self.seen:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            forms = self.near_forms(word, _ENDINGS if kind == "adjective" else ("",))
+            self.seen[word, kind] = {c for f in forms for c in self.codes.get((f, kind), ())}
+        return self.seen[word, kind]
+
+    def similar_sets(self, ws: list[str]) -> tuple[set[int], float]:
+        """Codes of the aliases of several words with the largest share of their words in the
+        text, and the share; nothing below LEAST."""
+        if not self.sets:
+            return set(), 0.0
+        share: dict[int, dict[str, float]] = defaultdict(dict)
+        for w in map(base, ws):
+            for f in self.near_forms(w, ("",)):
+                score = 1.0 if f == w else 1 - 1 / len(w)
+                for k in self.within.get(f, ()):
+                    share[k][f] = max(share[k].get(f, 0.0), score)
+        scores = {k: sum(x.values()) / len(self.sets[k][0]) for k, x in share.items()}
+        top = max(scores.values(), default=0.0)
+        return ({self.sets[k][1] for k, x in scores.items() if x == top}, top) if top >= LEAST else (set(), 0.0)
 
     def lookup(self, form: str, adjective: bool, unit: set[str]) -> set[int]:
         got = self.codes.get((form, "adjective" if adjective else "noun"), set())
@@ -152,12 +191,19 @@ class Names:
             got = self.codes.get((form, "noun"), set())
         return got
 
-    def resolve(self, text: str) -> tuple[set[int], float]:
-        """Codes of the text's first mention and a score: 1 found, below 1 similar, 0 none."""
+    def resolve(self, text: str) -> tuple[set[int], float, int, int]:
+        """Codes of the text's longest mention, a score (1 found, below 1 similar, 0 none), and
+        the mention's length and place."""
         t = fold(text)
         ws = words(t)
         unit = {KINDS[w] for w in ws if w in KINDS}
-        for _, _, form, rest in self.mentions(t):
+        best: tuple[set[int], int, int] | None = None
+        for start, end, form, rest, code in self.mentions(t):
+            if best and (end - start, start) != best[1:]:
+                break
+            if code is not None:
+                best = ((best[0] if best else set()) | {code}, end - start, start)
+                continue
             if form in KINDS:
                 continue
             adjective = rest in _ENDINGS and (rest != "ом" and rest != "om" or bool(unit & {"district", "area"}))
@@ -165,18 +211,27 @@ class Names:
                 continue
             got = self.lookup(form, adjective, unit)
             if got:
-                return got, 1.0
-        for w in ws:
-            if w in KINDS or len(w) < 5:
+                best = ((best[0] if best else set()) | got, end - start, start)
+        if best:
+            return best[0], 1.0, best[1], best[2]
+        first = "noun" if unit & {"town", "seat"} else "adjective"
+        own = [w for w in ws if w not in KINDS]
+        codes, score = self.similar_sets(own)
+        size = at = 0
+        for k, w in enumerate(own):
+            if 1 - 1 / len(w) < LEAST:
                 continue
-            first = "noun" if unit & {"town", "seat"} else "adjective"
             for kind in (first, "adjective" if first == "noun" else "noun"):
                 got = self.similar(w, kind)
                 if got:
-                    return got, 1 - 1 / len(w)
-        return set(), 0.0
+                    if not codes or (1 - 1 / len(w)) > score:
+                        codes, score, size, at = got, 1 - 1 / len(w), len(w), k
+                    break
+        return codes, score, size, at
 
 
+#: Least similarity of token sets: one slip in a word of five letters is just enough.
+LEAST = 0.8
 #: Most canonical rows that one automaton holds (some 100 MB); more are taken in blocks.
 BLOCK = 100_000
 _ASIDE = re.compile(r"\(([^()]*)\)|,\s*([^,()]+)$")
@@ -198,7 +253,7 @@ def match_batch(df: pd.DataFrame, names: Names, regions: Names, region_of: dict[
     cache: dict[str, set[int]] = {}
     for text, beside in zip(df["text"], df["beside"]):
         name, inside = parted(text)
-        codes, score = names.resolve(name)
+        codes, score, size, at = names.resolve(name)
         agree = 0  # 2: the region inside the text decides, 1: the one beside it
         for weight, place in ((2, inside), (1, beside)) if codes else ():
             if isinstance(place, str) and place:
@@ -208,17 +263,16 @@ def match_batch(df: pd.DataFrame, names: Names, regions: Names, region_of: dict[
                 if here:
                     codes, agree = here, weight
                     break
-        rows.append((text, beside, sorted(codes), score, agree))
-    return pd.DataFrame(rows, columns=["text", "beside", "codes", "score", "agree"])
+        rows.append((text, beside, sorted(codes), score, size, -at, agree))
+    return pd.DataFrame(rows, columns=["text", "beside", "codes", "score", "size", "at", "agree"])
 
 
-def _alias(name: str) -> list[tuple[str, str]]:
-    out = []
-    for w in words(fold(name)):
-        if w not in KINDS:
-            base, adjective = stem(w)
-            out.append((base if adjective else w, "adjective" if adjective else "noun"))
-    return out
+def _alias(name: str) -> list[tuple[tuple[str, str], ...]]:
+    """The alias a canonical name gives: its words without those of its kind of unit."""
+    own = [w for w in words(fold(name)) if w not in KINDS]
+    if len(own) > 1:
+        return [tuple((w, "noun") for w in own)]
+    return [((stem(w)[0], "adjective" if stem(w)[1] else "noun"),) for w in own]
 
 
 def match_names(values: DataFrame, canonical: DataFrame, regions: DataFrame) -> DataFrame:
@@ -227,21 +281,24 @@ def match_names(values: DataFrame, canonical: DataFrame, regions: DataFrame) ->
     ``canonical``: (code, region_code, names ARRAY<STRING>), the aliases of each entry;
     ``regions``: (region_code, region_name).  ``beside`` is the region given beside a
     text, or null; a region inside the text goes first.  A text names the entries of its
-    first embedded mention (score 1), or those whose tokens are one slip away (below 1),
-    or none: empty ``codes``, score 0.  Null texts are dropped, blank ones name none;
+    longest embedded mention (score 1; ties: the first), or those whose token sets are most
+    similar (LEAST to 1), or none: empty ``codes``, score 0.  Null texts are dropped, blank ones name none;
     without canonical entries nothing is named.  An entry that several codes share gives
     all codes unless a region decides.
 
     Values are reduced to distinct ones before they meet the list.  The list is counted
     first: up to BLOCK rows go to every task as one automaton, a longer list is taken in
-    blocks of that size, and the best score of all blocks wins.
+    blocks of that size, and the best score and longest mention of all blocks win.  More than
+    BLOCK regions raise a ValueError.
     """
     spark = values.sparkSession
     distinct = values.select(F.col("text").cast("string"), F.col("beside").cast("string")).where("text is not null").distinct()
+    # Few bytes, much work: spread over all cores, not over as few tasks as the bytes would fill.
+    distinct = distinct.repartition(3 * spark.sparkContext.defaultParallelism, "text", "beside")
     region_rows = [(r[0], r[1]) for r in regions.select("region_code", "region_name").dropna().distinct().limit(BLOCK + 1).collect()]
     if len(region_rows) > BLOCK:
         raise ValueError(f"more than {BLOCK} regions")
-    region_entries = [(c, a, k) for c, n in region_rows for a, k in _alias(n)]
+    region_entries = [(c, a) for c, n in region_rows for a in _alias(n)]
     n = canonical.count()
     blocks = max(1, -(-n // BLOCK))
     part = F.pmod(F.xxhash64("code"), F.lit(blocks))
@@ -250,18 +307,18 @@ def match_names(values: DataFrame, canonical: DataFrame, regions: DataFrame) ->
         entries, region_of = [], {}
         for code, region, aliases in canonical.where(part == b).select("code", "region_code", "names").collect():
             region_of[code] = region
-            entries += [(code, a, k) for name in aliases or [] if name for a, k in _alias(name)]
+            entries += [(code, a) for name in aliases or [] if name for a in _alias(name)]
 
         def run(batches: Iterator[pd.DataFrame], entries=entries, region_of=region_of) -> Iterator[pd.DataFrame]:
             names, places = Names(entries), Names(region_entries)
             for df in batches:
                 yield match_batch(df, names, places, region_of)
 
-        one = distinct.mapInPandas(run, "text string, beside string, codes array<bigint>, score double, agree int")
+        one = distinct.mapInPandas(run, "text string, beside string, codes array<bigint>, score double, size int, at int, agree int")
         got = one if got is None else got.unionByName(one)
     if blocks == 1:
-        return got.drop("agree")
-    rank = F.struct("score", "agree")
+        return got.drop("size", "at", "agree")
+    rank = F.struct("score", "size", "at", "agree")
     best = got.groupBy("text", "beside").agg(F.max(rank).alias("r")).select(F.col("text").alias("t"), F.col("beside").alias("b"), "r")
     return (
         got.join(best, F.col("text").eqNullSafe(F.col("t")) & F.col("beside").eqNullSafe(F.col("b")) & (rank == F.col("r")))
@@ -270,7 +327,6 @@ def match_names(values: DataFrame, canonical: DataFrame, regions: DataFrame) ->
     )
 
 
-def unmatched(values: DataFrame, matches: DataFrame) -> DataFrame:
-    """Values without an entry and how many rows hold each: (text, rows)."""
-    none = matches.where(F.size("codes") == 0).select("text").distinct()
-    return values.where("text is not null").groupBy("text").agg(F.count("*").alias("rows")).join(none, "text", "left_semi")
+def unmatched(matched: DataFrame, by: list[str]) -> DataFrame:
+    """Values without an entry and how many rows hold each: (by, text, rows)."""
+    return matched.where(F.size("codes") == 0).groupBy(*by, "text").agg(F.count("*").alias("rows"))

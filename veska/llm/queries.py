@@ -39,24 +39,29 @@ def _blank(text: Column) -> Column:
     return F.regexp_replace(text, r"[\s\u00a0]", "") == ""
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """The municipality or region of every typed value, -1 where the list has none."""
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    """The typed values with ``codes``: regions against regions, the others against
+    municipalities."""
     names, regions = _canonical(spark, d)
     values = _values(spark, d)
     is_region = F.col("field_name") == "region_name"
     as_region = regions.select(F.col("region_code").alias("code"), "region_code", F.array("region_name").alias("names"))
     found = []
     for rows, entries in ((values.where(~is_region), names), (values.where(is_region), as_region)):
-        m = match_names(rows, entries, regions).select(F.col("text").alias("t"), F.col("beside").alias("b"), F.coalesce(F.try_element_at("codes", F.lit(1)), F.lit(-1)).cast("bigint").alias("code"))
-        found.append(rows.join(m, F.col("text").eqNullSafe(F.col("t")) & F.col("beside").eqNullSafe(F.col("b"))))
-    return found[0].unionByName(found[1]).select("src_table", "event_id", "field_name", "pos", "code").distinct()
+        m = match_names(rows, entries, regions).select(F.col("text").alias("t"), F.col("beside").alias("b"), "codes")
+        found.append(rows.join(m, F.col("text").eqNullSafe(F.col("t")) & F.col("beside").eqNullSafe(F.col("b"))).drop("t", "b"))
+    return found[0].unionByName(found[1])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The municipality or region of every typed value, -1 where the list has none."""
+    code = F.coalesce(F.try_element_at("codes", F.lit(1)), F.lit(-1)).cast("bigint").alias("code")
+    return _matched(spark, d).select("src_table", "event_id", "field_name", "pos", code).distinct()
 
 
 def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    """Typed municipalities without an entry, with their number of rows."""
-    names, regions = _canonical(spark, d)
-    values = _values(spark, d).where("field_name != 'region_name'")
-    return unmatched(values, match_names(values, names, regions))
+    """Typed values of each field without an entry, with their number of rows."""
+    return unmatched(_matched(spark, d), ["src_table", "field_name"])
 
 
 def happenings(spark: SparkSession, d: str) -> DataFrame:
