@@ -77,3 +77,15 @@ def test_documents(spark, monkeypatch, block):
     assert [p[0] for p in pieces] == list(range(0, count(texts[3]), 128)) and all(n == 128 for _, n in pieces[:-1])
     assert sum(r.doc_id == 5 for r in got) == 2 and sum(r.doc_id is None for r in got) == 1
     assert pk.pack_documents(df.limit(0), "doc_id", "text", 128).count() == 0
+
+
+def test_bins_without_room_for_the_smallest_are_done(spark, monkeypatch):
+    """Pieces of a third to 0.6 of the capacity: hardly a bin fills, yet the rounds end, and
+    the number of bins stays near that of one block."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(34, 60, 3000)
+    rows = [(i, "a " * int(n)) for i, n in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    whole = pk.pack_documents(docs, "doc_id", "text", 120).select("bin").distinct().count()
+    monkeypatch.setattr(pk, "BLOCK", 300)
+    assert pk.pack_documents(docs, "doc_id", "text", 120).select("bin").distinct().count() <= 1.02 * whole

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from veska.llm.leakage import unify
 
-#: The model is fitted on at most this many graded documents, chosen by hash of their id,
-#: and keeps at most this many words, the most frequent.
-SAMPLE, VOCABULARY = 5_000, 200_000
+#: The model is fitted on at most this many graded documents, chosen by hash of their id;
+#: it keeps all their words.
+SAMPLE = 5_000
 #: Weight of a word that a grade's texts do not have.
 SMOOTH = 0.1
 
@@ -79,7 +79,7 @@ def fit_levels(documents: DataFrame, doc_id: str, text: str, grades: DataFrame,
 
     counts = labelled.mapInArrow(count, "g int, word string, n double")
     per_word = counts.groupBy("word").agg(F.sum("n").alias("all"), F.collect_list(F.struct("g", "n")).alias("by"))
-    rows = per_word.orderBy(F.col("word") != "", F.desc("all"), "word").limit(VOCABULARY + 1).collect()
+    rows = per_word.orderBy(F.col("word") != "", F.desc("all"), "word").collect()
     levels = sorted({b["g"] for r in rows for b in r["by"]})
     at = {g: i for i, g in enumerate(levels)}
     table = np.zeros((len(rows), len(levels)))
@@ -95,7 +95,7 @@ def reading_levels(documents: DataFrame, doc_id: str, text: str, grades: DataFra
     """The level of every document whose text is not null or blank: (doc_id, grade, margin).
 
     Smoothed unigram language models, one per level, are fitted on graded documents (at
-    most SAMPLE, at most VOCABULARY words); a document takes the level of the highest
+    most SAMPLE, all their words); a document takes the level of the highest
     posterior, ties the lower one.  ``margin`` is the log posterior's lead over the next
     level.  Words outside the vocabulary say nothing; a text without known words takes the
     likeliest level a priori.  Repeated rows are graded each.  Without any grade, and for

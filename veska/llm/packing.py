@@ -20,6 +20,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Items of one packing task.
 BLOCK = 50_000
+#: Share of a round's items above which those of bins with room are not packed again.
+WORTH = 0.95
 
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -121,8 +123,9 @@ def pack_documents(documents: DataFrame, doc_id: str, text: str, capacity: int,
 
     Texts are measured where they are read and never move.  Pieces are packed in blocks
     of about BLOCK items chosen by hash, which leave a few open bins each; the items of
-    all open bins are packed together in further rounds, so the room lost does not add up
-    with the number of blocks.
+    all bins with room for the smallest of them are packed together in further rounds, so the
+    room lost does not add up with the number of blocks; rounds end with one block, or where
+    more than WORTH of the items would move again, as then bins seldom fill at all.
     """
     counts = cut(token_counts(documents, doc_id, text, vocabulary))
     cap = F.lit(capacity)
@@ -131,30 +134,35 @@ def pack_documents(documents: DataFrame, doc_id: str, text: str, capacity: int,
         F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("tokens") - 1, cap.cast("bigint"))).alias("_piece", "_from"),
         "tokens",
     ).select("_id", "_piece", "_from", F.least(F.col("tokens") - F.col("_from"), cap).cast("bigint").alias("_n"))
-    schema = "_id bigint, _piece int, _from bigint, _n bigint, _bin bigint, _open boolean"
+    schema = "_id bigint, _piece int, _from bigint, _n bigint, _bin bigint, _gap bigint"
 
     def packed(stage: int, key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["_id", "_piece"], kind="stable").reset_index(drop=True)
         sizes = df["_n"].to_numpy()
         bins = pack(sizes, capacity)
         load = np.bincount(bins, weights=sizes)
-        df["_bin"] = (np.int64(stage) << 60) + (np.int64(key[0]) << 24) + bins
-        df["_open"] = load[bins] < capacity
-        return df[["_id", "_piece", "_from", "_n", "_bin", "_open"]]
+        df["_bin"] = (np.int64(stage) << 56) + (np.int64(key[0]) << 20) + bins
+        df["_gap"] = (capacity - load[bins]).astype(np.int64)
+        return df[["_id", "_piece", "_from", "_n", "_bin", "_gap"]]
 
-    done, rest, stage, n = [], pieces, 0, pieces.count()
+    done, rest, stage, (n, least) = [], pieces, 0, pieces.agg(F.count("*"), F.min("_n")).first()
     while True:
         blocks = max(1, -(-n // BLOCK))
         block = F.pmod(F.xxhash64("_id", "_piece", F.lit(stage)), F.lit(blocks))
         run = partial(packed, stage)
         got = rest.withColumn("_block", block).groupBy("_block").applyInPandas(_two(run), schema)
-        if blocks == 1 or stage == 6:
+        if blocks == 1:
             done.append(got)
             break
         got = cut(got)
-        done.append(got.where("not _open"))
-        rest = got.where("_open").drop("_bin", "_open")
-        n, stage = rest.count(), stage + 1
+        # A bin with less room than the smallest item can take none: it is done.
+        left = got.where(F.col("_gap") >= least)
+        again, smallest = left.agg(F.count("*"), F.min("_n")).first()
+        if again > WORTH * n:  # another round would move nearly all to close few bins
+            done.append(got)
+            break
+        done.append(got.where(F.col("_gap") < least))
+        rest, n, least, stage = left.drop("_bin", "_gap"), again, smallest, stage + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
