@@ -27,10 +27,17 @@ def region_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\b(?:республика|область|край|обл\.?|респ\.?|кр\.?)(?=\s|$)", ""))
 
 
-def classify(docs: DataFrame, doc_id: str, text: str, kinds: dict[str, list[str]]) -> DataFrame:
-    """(doc_id, kind): every kind one of whose stems begins a word of the text."""
+def classify(docs: DataFrame, doc_id: str, text: str, kinds: dict[str, list[str]], derived: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:
+    """(doc_id, kind): every kind one of whose stems begins a word of the text.  ``derived``
+    kinds follow from any of some kinds, or from all of some stems together."""
     t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    tests = [F.when(t.rlike(r"(?<!\p{L})(?:" + "|".join(stems) + ")"), F.lit(k)) for k, stems in kinds.items()]
+    shows = lambda stems: t.rlike(r"(?<!\p{L})(?:" + "|".join(stems) + ")")
+    tests = [F.when(shows(stems), F.lit(k)) for k, stems in kinds.items()]
+    for k, (froms, together) in (derived or {}).items():
+        every = F.lit(bool(together))
+        for s in together:
+            every = every & shows([s])
+        tests.append(F.when(shows([s for f in froms for s in kinds[f]]) | every, F.lit(k)))
     return docs.select(doc_id, F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("kind"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veska.operators.kernels import airline, two_way
-from veska.operators.panel import SERIES
+from veska.operators.panel import SERIES, beside_mean
 from veska.session import cut
 
 
@@ -26,9 +26,10 @@ def course(panel: DataFrame, first: int, last: int) -> DataFrame:
     return at.select("category", "o", "t", (F.col("m") - F.avg("m").over(Window.partitionBy("category", "o"))).alias("n"))
 
 
-def course_unbalanced(panel: DataFrame, periods: int, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(entity, category, a) and (category, t, n) where series have gaps: alternating means,
-    each round one aggregation by series and one by period.  The course (categories x
+def course_unbalanced(panel: DataFrame, periods: int, rounds: int = 30, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+    """(entity, category, a) and (category, t, n) where series have gaps: alternating means
+    until no course moves by more than ``tolerance``, ``rounds`` at most; each round is one
+    aggregation by series and one by period.  The course (categories x
     periods) is small enough to travel with the plan; the panel itself is never gathered."""
     spark = panel.sparkSession
     p = cut(panel.where("v is not null").select(*SERIES, "t", F.log("v").alias("y")))
@@ -38,7 +39,9 @@ def course_unbalanced(panel: DataFrame, periods: int, rounds: int = 12) -> tuple
     effects = lambda d: p.join(F.broadcast(frame(d)), ["category", "t"]).groupBy(*SERIES).agg(F.avg(F.col("y") - F.col("n")).alias("a"))
     for _ in range(rounds):
         step = p.join(effects(n), SERIES).groupBy("category", "t").agg(F.avg(F.col("y") - F.col("a")).alias("n"))
-        n = {(r["category"], r["t"]): r["n"] for r in step.collect()}  # categories x periods rows
+        before, n = n, {(r["category"], r["t"]): r["n"] for r in step.collect()}  # categories x periods rows
+        if max((abs(n[k] - before[k]) for k in n), default=0.0) <= tolerance:
+            break
     a = effects(n)
     shift: dict = {}
     for (c, _), x in n.items():
@@ -71,18 +74,23 @@ def growth(course_: DataFrame, series: DataFrame, mapping: DataFrame, offset: in
     series over the same months a year before, averaged with the panel's own where it is
     long enough.  ``offset`` is the outside period of the panel's period 0."""
     pick = lambda t, a, b: F.avg(F.when(F.col("k").between(a, b), F.col(t)))
-    os = course_.select("category", "o").distinct().join(F.broadcast(mapping), "category")
+    os = course_.select("category", "o").distinct().join(F.broadcast(mapping), _mapped(mapping))
     ext = os.join(series, "series").withColumn("k", F.col("t") - F.col("o") - offset).groupBy("category", "o").agg((pick("x", -2, 0) - pick("x", -14, -12)).alias("ge"))
     own = course_.withColumn("k", F.col("t") - F.col("o")).groupBy("category", "o").agg((pick("n", -2, 0) - pick("n", -14, -12)).alias("gp"))
     return ext.join(own, ["category", "o"]).select("category", "o", F.when(F.col("o") >= 14, (F.col("ge") + F.col("gp")) / 2).otherwise(F.col("ge")).alias("g"))
 
 
+def _mapped(mapping: DataFrame) -> list[str]:
+    """Keys of a mapping: of categories, or of categories at each origin."""
+    return ["category", "o"] if "o" in mapping.columns else ["category"]
+
+
 def course_rules(course_: DataFrame, g: DataFrame, factors: DataFrame, mapping: DataFrame, horizon: int, start_month: int) -> DataFrame:
     """(category, o, h, snaive, hybrid, extlvl): forecasts of the common course by three
     rules.  ``factors``: (series, o, moy, s); ``start_month``: calendar month of period 0."""
     n_map = course_.groupBy("category", "o").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("n"))
     sf = factors.groupBy("series", "o").agg(F.map_from_entries(F.collect_list(F.struct("moy", "s"))).alias("sf"))
-    base = n_map.join(g, ["category", "o"]).join(F.broadcast(mapping), "category").join(sf, ["series", "o"])
+    base = n_map.join(g, ["category", "o"]).join(F.broadcast(mapping), _mapped(mapping)).join(sf, ["series", "o"])
     n = lambda t: F.try_element_at("n", t.cast("int"))
     s = lambda t: F.try_element_at("sf", ((t + start_month) % 12).cast("int"))
     o, gg = F.col("o"), F.col("g")
@@ -128,13 +136,23 @@ def choose_external(course_: DataFrame, series: DataFrame, offset: int) -> DataF
 def regional(panel: DataFrame, regions: DataFrame) -> DataFrame:
     """(category, share): share of the residual variance that regions have in common.
     ``regions``: (entity, region)."""
-    p = panel.withColumn("y", F.log("v")).join(regions, "entity")
-    avg = lambda *k: F.avg("y").over(Window.partitionBy(*k))
-    z = p.select("category", "region", "t", (F.col("y") - avg(*SERIES) - avg("category", "t") + avg("category")).alias("z"))
-    r = z.withColumn("r", F.avg("z").over(Window.partitionBy("category", "region", "t")))
+    r = _regional(panel, regions)
     return r.groupBy("category").agg((F.var_pop("r") / F.var_pop("z")).alias("share"))
 
 
+def regional_course(panel: DataFrame, regions: DataFrame) -> DataFrame:
+    """(entity, category, t, r): the mean of a series' region and category of what neither
+    the series' level nor the common course explains; complete panels."""
+    return _regional(panel, regions).select(*SERIES, "t", "r")
+
+
+def _regional(panel: DataFrame, regions: DataFrame) -> DataFrame:
+    p = panel.withColumn("y", F.log("v")).join(regions, "entity")
+    p = beside_mean(beside_mean(beside_mean(p, "y", SERIES, "_row"), "y", ["category", "t"], "_col"), "y", ["category"], "_all")
+    z = p.select(*SERIES, "region", "t", (F.col("y") - F.col("_row") - F.col("_col") + F.col("_all")).alias("z"))
+    return beside_mean(z, "z", ["category", "region", "t"], "r")
+
+
 def growth_regression(series: DataFrame) -> DataFrame:
     """(series, slope, intercept, r2): yearly growth of 12-month sums on the growth a year
     before.  ``series``: (series, t, x) with logs in x."""

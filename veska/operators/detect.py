@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veska.operators.kernels import DIFFUSE, local_filter, local_sums, run_length_scores, segmentation_scores
-from veska.operators.panel import SERIES, neighbour_mean, noise_scale, packed
+from veska.operators.panel import SERIES, beside_mean, neighbour_mean, noise_scale, packed
 from veska.session import cut
 
 
 def _own(panel: DataFrame, ref: int) -> DataFrame:
     """Log values less the category's mean of the same period."""
-    y = F.log("v")
-    return panel.select(*SERIES, "t", (y - F.avg(y).over(Window.partitionBy("category", "t"))).alias("l"))
+    y = panel.select(*SERIES, "t", F.log("v").alias("y"))
+    return beside_mean(y, "y", ["category", "t"], "_n").select(*SERIES, "t", (F.col("y") - F.col("_n")).alias("l"))
 
 
 def _normal(cells: DataFrame, ref: int) -> DataFrame:
@@ -214,25 +214,32 @@ def fit_grid(z: DataFrame, periods: int, grid: list[tuple[float, float]]) -> Dat
     return out.groupBy("category").agg(F.min(F.struct("loss", "lam", "phi")).alias("b")).select("category", "b.lam", "b.phi", "b.loss")
 
 
-def _by_series(z: DataFrame, periods: int, score) -> DataFrame:
+def _by_series(z: DataFrame, periods: int, score, boosts: DataFrame | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            df["s"] = [score(np.array([np.nan if x is None else x for x in v], float)).tolist() for v in df["v"]]
+            array = lambda v, none: np.array([none if x is None else x for x in v], float)
+            df["s"] = [score(array(v, np.nan), None if b is None else array(b, 1.0)).tolist() for v, b in zip(df["v"], df["b"])]
             yield df[[*SERIES, "s"]]
 
     kind = z.schema["entity"].dataType.simpleString()
-    out = packed(z, periods, "z").mapInPandas(run, f"entity {kind}, category string, s array<double>")
+    series = packed(z, periods, "z")
+    if boosts is None:
+        series = series.withColumn("b", F.lit(None).cast("array<double>"))
+    else:
+        series = series.join(packed(boosts, periods, "boost").withColumnRenamed("v", "b"), SERIES, "left")
+    out = series.mapInPandas(run, f"entity {kind}, category string, s array<double>")
     return out.select(*SERIES, F.posexplode("s").alias("t", "s"))
 
 
 def segmentation(z: DataFrame, periods: int, window: int = 3, warm: int = 6) -> DataFrame:
     """Largest penalty at which exact segmentation still cuts within the last periods."""
-    return _by_series(z, periods, lambda y: segmentation_scores(y, window, warm))
+    return _by_series(z, periods, lambda y, _: segmentation_scores(y, window, warm))
 
 
-def run_length(z: DataFrame, periods: int, hazard: float = 1 / 24, window: int = 3) -> DataFrame:
-    """Log odds of a short run by Bayesian online change-point detection."""
-    return _by_series(z, periods, lambda y: run_length_scores(y, hazard, window=window))
+def run_length(z: DataFrame, periods: int, hazard: float = 1 / 24, window: int = 3, boosts: DataFrame | None = None) -> DataFrame:
+    """Log odds of a short run by Bayesian online change-point detection; ``boosts`` (entity,
+    category, t, boost) raise the hazard of the periods of known events."""
+    return _by_series(z, periods, lambda y, b: run_length_scores(y, hazard, window=window, boost=b), boosts)
 
 
 def with_news(scores: DataFrame, news: DataFrame, factor: float, window: int = 3) -> DataFrame:
@@ -273,12 +280,20 @@ def first_alarm(scores: DataFrame, threshold: Column, start: int) -> DataFrame:
     return scores.where(F.col("t") >= start).groupBy(*SERIES).agg(F.min(F.when(F.col("s") > threshold, F.col("t"))).alias("first"))
 
 
+def _thresholds(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """(i, threshold): exact percentiles, one row each."""
+    from veska.operators.studies import exact_percentiles
+
+    got = exact_percentiles(rows, value, shares)
+    return rows.sparkSession.createDataFrame(list(enumerate(got)), "i int, threshold double")
+
+
 def calibrated(scores: DataFrame, truth: DataFrame, start: int, alphas: list[float], w: int = 3) -> DataFrame:
     """(alpha, threshold, recall, precision, delay, early): thresholds are quantiles of the
     clean series' largest scores.  ``truth``: (entity, category, inj, tau)."""
     s = scores.where(F.col("t") >= start).join(truth, SERIES)
     tops = s.where("not inj").groupBy(*SERIES).agg(F.max("s").alias("m"))
-    thr = tops.agg(F.percentile("m", [1 - a for a in alphas]).alias("q")).select(F.posexplode("q").alias("i", "threshold"))
+    thr = _thresholds(tops, "m", [1 - a for a in alphas])
     alpha = F.get(F.array(*[F.lit(a) for a in alphas]), F.col("i"))
     f = s.crossJoin(F.broadcast(thr)).groupBy("i", "threshold", *SERIES, "inj", "tau").agg(F.min(F.when(F.col("s") > F.col("threshold"), F.col("t"))).alias("f"))
     inj, hit = F.col("inj"), F.col("inj") & F.col("f").between(F.col("tau"), F.col("tau") + w - 1)
@@ -304,7 +319,7 @@ def labelled(scores: DataFrame, shifts: DataFrame, threshold: float, rates: list
     alarm is right if a shift began in the last ``window`` periods, a shift is caught by an
     alarm in the ``window`` from it on; periods ``start`` to ``stop``."""
     s = scores.where(F.col("t").between(start, stop))
-    thr = s.agg(F.percentile("s", [1 - r for r in rates]).alias("q")).select(F.posexplode("q").alias("i", "threshold"))
+    thr = _thresholds(s, "s", [1 - r for r in rates])
     j = s.join(shifts.select(*SERIES, "t", (F.abs("sh") >= threshold).alias("big")), [*SERIES, "t"], "left").crossJoin(F.broadcast(thr))
     j = j.withColumns({"big": F.coalesce("big", F.lit(False)), "alarm": F.col("s") > F.col("threshold")})
     o = Window.partitionBy("i", *SERIES).orderBy("t")

@@ -40,7 +40,7 @@ def loss_differences(paired: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def diebold_mariano(paired: DataFrame, a: str, b: str) -> DataFrame:
-    """(h, mean_diff, dm, units): difference of losses per origin with a Bartlett HAC
+    """(h, mean_diff, dm, units, by_unit): difference of losses per origin with a Bartlett HAC
     variance of lag h - 1, or per origin and entity where there are fewer than 4 origins."""
     d = loss_differences(paired, a, b)
     by_o = d.groupBy("h", "o").agg(F.avg("dl").alias("s"))
@@ -61,7 +61,7 @@ def diebold_mariano(paired: DataFrame, a: str, b: str) -> DataFrame:
     )
     means = d.groupBy("h").agg(F.avg("dl").alias("mean_diff"))
     many = F.col("T") >= 4
-    return means.join(hac, "h").join(clusters, "h").select("h", "mean_diff", F.when(many, F.col("dm")).otherwise(F.col("dm_c")).alias("dm"), F.when(many, F.col("T")).otherwise(F.col("units_c")).alias("units"))
+    return means.join(hac, "h").join(clusters, "h").select("h", "mean_diff", F.when(many, F.col("dm")).otherwise(F.col("dm_c")).alias("dm"), F.when(many, F.col("T")).otherwise(F.col("units_c")).alias("units"), F.when(many, "origin").otherwise("cluster").alias("by_unit"))
 
 
 def interval_score(scored: DataFrame, y: str, lo: str, hi: str, level: float, by: list[str]) -> DataFrame:
@@ -92,11 +92,9 @@ def bootstrap_means(sums: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     Entities get Poisson(1) multiplicities from a hash of (seed, draw, entity), so a sample
     needs no list of all entities and any partition can be computed again alike.
     """
-    # Distribution function of Poisson(1).
-    cdf = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759]
-    u = F.pmod(F.xxhash64(F.lit(seed), "b", "entity"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    times = sum((F.when(u > c, 1).otherwise(0) for c in cdf), F.lit(0))
-    drawn = sums.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("m", times).where("m > 0")
+    from veska.operators.studies import draws_of
+
+    drawn = sums.join(draws_of(sums, "entity", draws, seed), "entity")
     return drawn.groupBy("b", "model").agg((F.sum(F.col("m") * F.col("s")) / F.sum(F.col("m") * F.col("n"))).alias("d"))
 
 

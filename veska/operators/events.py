@@ -29,7 +29,7 @@ def boost(panel: DataFrame, events: DataFrame, factor: float, spread: int = 1) -
     return b.select(*SERIES, "t", F.coalesce("_b", F.lit(1.0)).alias("boost"))
 
 
-def impute_region(entities: DataFrame, known: DataFrame) -> DataFrame:
+def impute_region(entities: DataFrame, known: DataFrame, per_range: int = 1_000_000) -> DataFrame:
     """(entity, region, how): the region of an entity is its own, or that of the nearest
     known ids on both sides if they agree, else of the nearer one (ties: the lower id).
 
@@ -37,15 +37,19 @@ def impute_region(entities: DataFrame, known: DataFrame) -> DataFrame:
     taken in ranges with the last and first known id of each carried over the range edges
     (two rows per range), so no task holds all ids.
     """
-    width = 4096
+    # Ranges of ids of about equal numbers of known ones: sparse ids make no more of them.
     k = known.where("entity is not null and region is not null").groupBy("entity").agg(F.mode("region", True).alias("region"))
-    all_ = entities.select("entity").distinct().join(k, "entity", "left").withColumn("cell", F.floor(F.col("entity") / width))
+    n = k.count()
+    parts = max(1, -(-n // per_range))
+    bounds = sorted(set(k.withColumn("entity", F.col("entity").cast("double")).approxQuantile("entity", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    cell = lambda c: F.array_size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= c)) if bounds else F.lit(0)
+    all_ = entities.select("entity").distinct().join(k, "entity", "left").withColumn("cell", cell(F.col("entity")))
     hit = F.when(F.col("region").isNotNull(), F.struct("entity", "region"))
-    ends = k.withColumn("cell", F.floor(F.col("entity") / width)).groupBy("cell").agg(F.min(F.struct("entity", "region")).alias("lo"), F.max(F.struct("entity", "region")).alias("hi"))
+    ends = k.withColumn("cell", cell(F.col("entity"))).groupBy("cell").agg(F.min(F.struct("entity", "region")).alias("lo"), F.max(F.struct("entity", "region")).alias("hi"))
     cells = all_.select("cell").distinct().join(ends, "cell", "full")
     side = Window.orderBy("cell")  # one row per range of ids
     edges = cells.select("cell", F.last("hi", True).over(side.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo", True).over(side.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    missing = k.join(all_.select("entity"), "entity", "left_anti").withColumn("cell", F.floor(F.col("entity") / width)).withColumn("own", F.lit(False))
+    missing = k.join(all_.select("entity"), "entity", "left_anti").withColumn("cell", cell(F.col("entity"))).withColumn("own", F.lit(False))
     both = all_.withColumn("own", F.lit(True)).unionByName(missing.select("entity", "region", "cell", "own"))
     w = Window.partitionBy("cell").orderBy("entity")
     lo = F.last(hit, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -99,8 +103,9 @@ def response(shifts: DataFrame, hits: DataFrame, within: bool = False) -> DataFr
     controls: other series of the period, or (``within``) other periods of the series.
     ``hits``: distinct (entity, t)."""
     j = shifts.where("sh is not null").join(hits.withColumn("hit", F.lit(True)), ["entity", "t"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    w = Window.partitionBy(*SERIES) if within else Window.partitionBy("t")
-    d = j.withColumn("d", F.col("sh") - F.avg(F.when(~F.col("hit"), F.col("sh"))).over(w)).where("hit")
+    by = SERIES if within else ["t"]
+    base = j.where("not hit").groupBy(*by).agg(F.avg("sh").alias("base"))  # aggregated map-side: no task holds a period
+    d = j.where("hit").join(base, by, "left").withColumn("d", F.col("sh") - F.col("base"))
     return d.agg(F.count("*").alias("treated"), F.countDistinct("entity").alias("entities"), F.avg("d").alias("shift"), F.avg(F.abs("d")).alias("abs_shift"))
 
 
@@ -115,8 +120,10 @@ def explained(scores: DataFrame, hits: DataFrame, rate: float, window: int = 3)
     ``window`` periods, and that share of all cells."""
     reach = hits.select("entity", F.explode(F.sequence(F.col("t"), F.col("t") + window - 1)).alias("t")).distinct().withColumn("hit", F.lit(1.0))
     j = scores.join(reach, ["entity", "t"], "left").withColumn("hit", F.coalesce("hit", F.lit(0.0)))
-    thr = j.agg(F.percentile("s", 1 - rate).alias("thr"))
-    return j.crossJoin(F.broadcast(thr)).agg(F.count_if(F.col("s") > F.col("thr")).alias("alarms"), F.avg(F.when(F.col("s") > F.col("thr"), F.col("hit"))).alias("with_news"), F.avg("hit").alias("base"))
+    from veska.operators.studies import exact_percentiles
+
+    (at,) = exact_percentiles(j, "s", [1 - rate])
+    return j.withColumn("thr", F.lit(at).cast("double")).agg(F.count_if(F.col("s") > F.col("thr")).alias("alarms"), F.avg(F.when(F.col("s") > F.col("thr"), F.col("hit"))).alias("with_news"), F.avg("hit").alias("base"))
 
 
 def first_alarm_after(scores: DataFrame, events: DataFrame, threshold: float, window: int) -> DataFrame:

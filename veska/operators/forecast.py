@@ -101,14 +101,14 @@ def provider(name: str, predict: Callable[[list[list[float]], int], list[list[fl
 
 
 def freeze(forecasts: DataFrame) -> DataFrame:
-    """(rows, sha): count and SHA-256 over the canonical rows of a forecast, each rounded to
-    one decimal.  Rows are hashed where they lie; the digests are summed up per series and
-    only one short digest per series is put in order."""
+    """(category, rows, sha): count and SHA-256 over the canonical rows of a forecast, each
+    rounded to one decimal.  Rows are hashed where they lie and digests summed up as a tree:
+    per series, per range of 4,096 of the entities' hashes, per category."""
+    joined = lambda order, value: F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])), 256)
     row = F.concat_ws("|", "entity", "category", "h", F.format_string("%.1f", F.round("f", 1)))
-    per = forecasts.where("f is not null").select("entity", "category", "h", row.alias("r")).groupBy("entity", "category").agg(
-        F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("h", "r"))), lambda x: x["r"])), 256).alias("s")
-    )
-    by = per.groupBy("category").agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("entity", "s"))), lambda x: x["s"])), 256).alias("s"))
+    per = forecasts.where("f is not null").select("entity", "category", "h", row.alias("r")).groupBy("entity", "category").agg(F.count("*").alias("n"), joined("h", "r").alias("s"))
+    part = per.groupBy("category", F.substring(F.md5(F.col("entity").cast("string")), 1, 3).alias("p")).agg(F.sum("n").alias("n"), joined("entity", "s").alias("s"))
+    by = part.groupBy("category").agg(F.sum("n").alias("n"), joined("p", "s").alias("s"))
     return by.select("category", F.col("n").alias("rows"), F.col("s").alias("sha"))
 
 

@@ -26,6 +26,18 @@ def build_panel(rows: DataFrame, entity: str, category: str, period: Column, val
     )
 
 
+def beside_mean(cells: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """The cells with the mean of ``value`` over ``by`` as ``name``.  The means are aggregated
+    map-side and joined (Spark broadcasts them where they are small), so no task holds all
+    cells of a group, as a window would."""
+    means = cells.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.avg(value).alias(name))
+    on = None
+    for c in by:
+        same = F.col(c) == F.col(f"_{c}")
+        on = same if on is None else on & same
+    return cells.join(means, on).drop(*[f"_{c}" for c in by])
+
+
 def complete(panel: DataFrame, periods: int) -> DataFrame:
     """Rows of the series observed in all periods."""
     n = F.count("v").over(Window.partitionBy(*SERIES))
@@ -65,9 +77,8 @@ def shares(panel: DataFrame) -> DataFrame:
     """(category, level, common, residual): shares of the variance of log values between
     series means, the category's common course and the rest; complete panels."""
     p = panel.withColumn("y", F.log("v"))
-    row = F.avg("y").over(Window.partitionBy(*SERIES))
-    col = F.avg("y").over(Window.partitionBy("category", "t"))
-    all_ = F.avg("y").over(Window.partitionBy("category"))
+    p = beside_mean(beside_mean(beside_mean(p, "y", SERIES, "_row"), "y", ["category", "t"], "_col"), "y", ["category"], "_all")
+    row, col, all_ = F.col("_row"), F.col("_col"), F.col("_all")
     q = p.select("category", (row - all_).alias("a"), (col - all_).alias("n"), (F.col("y") - row - col + all_).alias("e"))
     total = F.var_pop("a") + F.var_pop("n") + F.var_pop("e")
     return q.groupBy("category").agg(*[(F.var_pop(c) / total).alias(n) for c, n in (("a", "level"), ("n", "common"), ("e", "residual"))])

@@ -116,3 +116,18 @@ ORACLE["p2_found"] = f"""WITH u AS (SELECT territory_id, category, {_MONTH} AS k
   v AS (SELECT DISTINCT territory_id, category, k - 2023*12 - 1 AS t FROM u WHERE k - 2023*12 - 1 BETWEEN 0 AND 23 AND (mm = '' OR CAST(mm AS INT) BETWEEN 1 AND 12)),
   g AS (SELECT territory_id, category, unnest(range(min(t), max(t) + 1)) AS t FROM v GROUP BY 1,2)
 SELECT territory_id, category, (2023 + t//12) || '-' || lpad(CAST(t%12 + 1 AS VARCHAR), 2, '0') AS month FROM g WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.territory_id=g.territory_id AND v.category=g.category AND v.t=g.t)"""
+
+_LISTS = r"""names AS (SELECT string_agg(regexp_replace(c, '([^\pL\pN ])', '\\\1', 'g'), '|' ORDER BY length(c) DESC, c) AS p FROM (SELECT DISTINCT category AS c FROM consumption WHERE category IS NOT NULL)),
+  l AS (SELECT 'event_registry_rav11l' AS src_table, event_id, regexp_extract_all(f, '(?i)' || p || '|\pL+') AS v FROM (SELECT DISTINCT event_id, affected_categories AS f FROM event_registry_rav11l WHERE affected_categories IS NOT NULL), names
+    UNION ALL SELECT 'events_merged', event_id, regexp_extract_all(f, '\d+') FROM (SELECT DISTINCT event_id, territory_ids AS f FROM events_merged WHERE territory_ids IS NOT NULL))"""
+ORACLE["p1_found"] = f"WITH {_LISTS} SELECT src_table, event_id, CAST(generate_subscripts(v, 1) AS BIGINT) AS pos, unnest(v) AS val FROM l"
+ORACLE["p3_report"] = f"""WITH m AS (SELECT DISTINCT event_id, territory_ids, announce_date FROM events_merged), q AS (SELECT 'event_registry_maloyan' AS src_table, CAST(territory_id AS BIGINT) AS territory_id, {_DAY.format("announce_date")} AS d FROM event_registry_maloyan UNION ALL
+  SELECT 'events_merged', CAST(unnest(regexp_extract_all(territory_ids, '\\d+')) AS BIGINT), {_DAY.format("announce_date")} FROM m)
+SELECT src_table, strftime(d, '%Y-%m') AS period, count(*) AS orphans, count(DISTINCT territory_id) AS keys FROM q WHERE territory_id IS NOT NULL AND d IS NOT NULL AND {_LISTED} GROUP BY 1,2"""
+ORACLE["p4_periods"] = f"""WITH {_SPANS.replace('s AS (SELECT DISTINCT * FROM', 's AS (SELECT * FROM')}, g AS (SELECT *, sum(CASE WHEN m IS NULL OR (m < DATE '9999-12-31' AND a > m + 1) THEN 1 ELSE 0 END) OVER (PARTITION BY territory_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM r)
+SELECT territory_id, strftime(min(a), '%Y-%m-%d') AS period_from, strftime(max(b), '%Y-%m-%d') AS period_to, count(*) AS spans FROM g GROUP BY territory_id, k"""
+_GRID = ORACLE["p2_found"].replace("SELECT *, trim(replace(date, chr(160), ' ')) AS x", "SELECT *, trim(replace(date, chr(160), ' ')) AS x").replace("WITH u AS (SELECT territory_id, category,", "WITH u AS (SELECT territory_id, category, value, loaded_at,")
+ORACLE["p2_grid"] = _GRID[: _GRID.index("  v AS (SELECT DISTINCT")] + """  c AS (SELECT territory_id, category, k - 2023*12 - 1 AS t, count(*) AS n, max(struct_pack(a := loaded_at, v := value)).v AS v FROM u WHERE k - 2023*12 - 1 BETWEEN 0 AND 23 AND (mm = '' OR CAST(mm AS INT) BETWEEN 1 AND 12) GROUP BY 1,2,3),
+  g AS (SELECT territory_id, category, unnest(range(min(t), max(t) + 1)) AS t FROM c GROUP BY 1,2),
+  j AS (SELECT g.territory_id, g.category, g.t, c.n, c.v, max(c.t) OVER w AS lt, last_value(c.v IGNORE NULLS) OVER w AS lv FROM g LEFT JOIN c ON c.territory_id=g.territory_id AND c.category=g.category AND c.t=g.t WINDOW w AS (PARTITION BY g.territory_id, g.category ORDER BY g.t ROWS UNBOUNDED PRECEDING))
+SELECT territory_id, category, (2023 + t//12) || '-' || lpad(CAST(t%12 + 1 AS VARCHAR), 2, '0') AS month, coalesce(n, 0) AS n, v AS value, CASE WHEN t - lt <= 3 THEN lv END AS filled, CASE WHEN n IS NOT NULL THEN 'read' WHEN t - lt <= 3 THEN 'filled' ELSE 'missing' END AS mark FROM j"""

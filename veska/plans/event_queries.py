@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +11,9 @@ from veska.operators import events as evt
 from veska.operators import evaluate as ev
 from veska.operators import forecast as fo
 from veska.plans import fixtures as fx
+from veska.plans import panel_queries as pq
 from veska.plans.fixtures import FIRST, FORECASTS, LAST, NEWS, OWN, P24, PAIRS, SHIFTS, H, T, scaled
-from veska.session import shared_folder, table
+from veska.session import cut, scratch, table
 from veska.sources import tables as src
 from veska.streaming import monthly
 
@@ -155,10 +154,17 @@ def news_prior(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dt.with_news(_scores(spark, d), _hits(spark, d), 25.0), s=4)
 
 
-@query("two_channels")
+@query("bocpd_news_scores", pq.run_length_sql(f", {_CAT}, bst AS (SELECT DISTINCT entity, CAST(month + s AS INTEGER) AS t FROM (SELECT unnest(ids) AS entity, month FROM cat), range(0,2) x(s))", "least(CASE WHEN EXISTS (SELECT 1 FROM bst WHERE bst.entity=z.entity AND bst.t=z.t) THEN 25.0 ELSE 1.0 END/24, 0.99)"))
+def bocpd_news_scores(spark: SparkSession, d: str) -> DataFrame:
+    z = cut(_z(spark, d))
+    boosts = evt.boost(z, fx.catalogue(spark).select("ids", F.col("month").alias("t")), 25.0)
+    return rounded(dt.run_length(z, T, boosts=boosts), s=4)
+
+
+@query("two_channels", f"SELECT a.entity, a.category, a.t, greatest(a.s, b.s) AS s FROM ({pq.ORACLE['cusum_scores']}) a LEFT JOIN ({pq.ORACLE['ssm_lr_scores']}) b ON b.entity=a.entity AND b.category=a.category AND b.t=a.t")
 def two_channels(spark: SparkSession, d: str) -> DataFrame:
-    z = _z(spark, d)
-    return rounded(dt.either(dt.cusum(z, T), dt.run_length(z, T)), s=4)
+    z = cut(_z(spark, d))
+    return rounded(dt.either(dt.cusum(z, T), dt.step_ratio(z, T, 0.1, 0.5)), s=4)
 
 
 @query("explained_alarms", f"""{_S}, {NEWS}, r AS (SELECT DISTINCT entity, CAST(t + k AS INTEGER) AS t FROM news, range(0,3) x(k) WHERE n >= 2), j AS (SELECT s.s, r.entity IS NOT NULL AS hit FROM s LEFT JOIN r ON r.entity=s.entity AND r.t=s.t), q AS (SELECT quantile_cont(s, 0.95) AS thr FROM j)
@@ -175,18 +181,25 @@ def labelled_eval(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dt.labelled(_scores(spark, d), _shifts(spark, d), 2.0, [0.01, 0.02, 0.05], 6, 21), threshold=4, precision=6, recall=6)
 
 
-@query("case_gallery")
+@query("case_gallery", f"""WITH cu AS ({pq.ORACLE['cusum_scores']}), lr AS ({pq.ORACLE['ssm_lr_scores']}), zz AS ({pq.ORACLE['normalised_panel']}), shf AS ({ORACLE['confirmed_shifts']}), fm AS (WITH {P24}, {FORECASTS}, {PAIRS} SELECT entity, category, avg(abs(act-f)) AS e FROM pairs WHERE model='naive' AND h <= 3 GROUP BY 1,2),
+  b AS (SELECT entity, category, max(s) AS top FROM cu WHERE t >= 8 GROUP BY 1,2 ORDER BY top DESC, 1, 2 LIMIT 10),
+  g AS (SELECT b.entity, b.category, top, (SELECT min(t) FROM cu x WHERE x.entity=b.entity AND x.category=b.category AND t >= 8 AND s > 4) AS cusum, (SELECT min(t) FROM lr x WHERE x.entity=b.entity AND x.category=b.category AND t >= 8 AND s > 6) AS step_ratio, (SELECT min(t) FROM zz x WHERE x.entity=b.entity AND x.category=b.category AND t >= 8 AND abs(z) > 3) AS level FROM b)
+SELECT g.entity, g.category, top, cusum, step_ratio, level, least(cusum, step_ratio, level) AS t, greatest(cusum, step_ratio, level) - least(cusum, step_ratio, level) AS lag, shf.sh AS shift, round(fm.e, 2) AS mae3
+  FROM g LEFT JOIN shf ON shf.entity=g.entity AND shf.category=g.category AND shf.t=least(cusum, step_ratio, level) LEFT JOIN fm ON fm.entity=g.entity AND fm.category=g.category""")
 def case_gallery(spark: SparkSession, d: str) -> DataFrame:
-    """The series of the highest scores of one channel with the first alarms of three, and
-    the confirmed shift at the first of them."""
-    z = _z(spark, d)
-    channels = {"cusum": (dt.cusum(z, T), 4.0), "run_length": (dt.run_length(z, T), 0.0), "step_ratio": (dt.step_ratio(z, T, 0.1, 0.5), 6.0)}
-    out = dt.top_alarms(channels["cusum"][0], 10, 8).select("entity", "category", F.round("s", 4).alias("top"))
+    """The series of the highest scores of one channel with the first alarms of three and the
+    time between them, the confirmed shift at the first, and the error of the last value as a
+    forecast over three steps."""
+    z = cut(_z(spark, d))
+    channels = {"cusum": (dt.cusum(z, T), 4.0), "step_ratio": (dt.step_ratio(z, T, 0.1, 0.5), 6.0), "level": (_scores(spark, d), 3.0)}
+    channels = {k: (cut(rounded(s, s=4)), x) for k, (s, x) in channels.items()}
+    out = cut(dt.top_alarms(channels["cusum"][0], 10, 8).select("entity", "category", F.col("s").alias("top")))
     for name, (scores, threshold) in channels.items():
         out = out.join(dt.first_alarm(scores, F.lit(threshold), 8).withColumnRenamed("first", name), ["entity", "category"], "left")
-    at = F.least("cusum", "run_length", "step_ratio")
-    shift = _shifts(spark, d).select("entity", "category", "t", F.round("sh", 4).alias("shift"))
-    return out.withColumn("t", at).join(shift, ["entity", "category", "t"], "left")
+    out = out.withColumn("t", F.least(*channels)).withColumn("lag", F.greatest(*channels) - F.col("t"))
+    shift = dt.confirmed_shifts(z, "z", T).select("entity", "category", "t", F.round("sh", 4).alias("shift"))
+    errors = ev.pairs(fo.naive(fx.packed24(spark, d), FIRST, LAST, 3), fx.panel24(spark, d)).groupBy("entity", "category").agg(F.round(F.avg(F.abs(F.col("y") - F.col("f"))), 2).alias("mae3"))
+    return out.join(shift, ["entity", "category", "t"], "left").join(errors, ["entity", "category"], "left")
 
 
 @query("event_alarm_delay", f"""{_S}, {_CAT}, e AS (SELECT event_id, unnest(ids) AS entity, month AS t0 FROM cat)
@@ -210,7 +223,10 @@ def tokenise(spark: SparkSession, d: str) -> DataFrame:
     return tx.tokens(table(spark, d, "documents"), "doc_id", "text").groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("stems")
+_ENDS = "|".join(tx.ENDINGS)
+
+
+@query("stems", rf"WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '\pL+'))) AS word FROM documents WHERE text IS NOT NULL) SELECT regexp_replace(word, '^(.{{3,}}?)(?:{_ENDS})$', '\1') AS stem, count(*) AS n FROM w GROUP BY 1")
 def stems(spark: SparkSession, d: str) -> DataFrame:
     t = tx.tokens(table(spark, d, "documents"), "doc_id", "text").groupBy("word").agg(F.count("*").alias("n"))
     return t.groupBy(tx.stem(F.col("word")).alias("stem")).agg(F.sum("n").alias("n"))
@@ -272,25 +288,26 @@ def json_field_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("csv_round_trip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    src.write_csv(table(spark, d, "nation"), path, gzip=True)
-    return src.csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+    with scratch(spark, "csv") as path:
+        src.write_csv(table(spark, d, "nation"), path, gzip=True)
+        return cut(src.csv(spark, path, "n_nationkey int, n_name string, n_regionkey int"))
 
 
 @query("forecast_store", f"WITH {P24}, {FORECASTS} SELECT model, o, entity, category, h, round(f, 4) AS f FROM fc WHERE model = 'naive'")
 def forecast_store(spark: SparkSession, d: str) -> DataFrame:
-    p, path = fx.packed24(spark, d), f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
-    src.write_store(fo.naive(p, FIRST, LAST, H).unionByName(fo.seasonal_naive(p, FIRST, LAST, H)), path)
-    return rounded(src.read_store(spark, path, ["naive"]).select("model", "o", "entity", "category", "h", "f"), f=4)
+    p = cut(fx.packed24(spark, d))
+    with scratch(spark, "store") as path:
+        src.write_store(fo.naive(p, FIRST, LAST, H).unionByName(fo.seasonal_naive(p, FIRST, LAST, H)), path)
+        return cut(rounded(src.read_store(spark, path, ["naive"]).select("model", "o", "entity", "category", "h", "f"), f=4))
 
 
-@query("resume_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("resume_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-01')")
 def resume_missing(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, d, "orders").where("o_orderdate < timestamp_ntz'1995-03-01'").select(F.col("o_custkey").alias("c_custkey"))
     return src.missing_work(table(spark, d, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
-@query("clean_json_rows")
+@query("clean_json_rows", "SELECT CAST(to_json(struct_pack(c_custkey := c_custkey, c_name := c_name, c_nationkey := c_nationkey, c_acctbal := CASE WHEN isfinite(c_acctbal) THEN round(c_acctbal, 4) END, c_mktsegment := c_mktsegment)) AS VARCHAR) AS json FROM customer")
 def clean_json_rows(spark: SparkSession, d: str) -> DataFrame:
     return src.clean_json(table(spark, d, "customer"))
 
@@ -301,14 +318,17 @@ _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 @query("stream_daily_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1,2")
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     stream = monthly.windowed(monthly.file_stream(spark, f"{d}/event[s].parquet", _EVENTS), "ts", ["event_type"], "value")
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    out = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"))
-    out.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(f"{folder}/out")
-    return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    with scratch(spark, "stream") as folder:
+        out = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"))
+        out.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(f"{folder}/out")
+        return cut(got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total")))
 
 
-@query("stream_cusum")
+@query("stream_cusum", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts)::DOUBLE AS "at", (value - 50)/30 AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+  c AS (SELECT user_id, 0::BIGINT AS k, NULL::DOUBLE AS "at", 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn FROM e GROUP BY 1 UNION ALL SELECT e.user_id, e.k, e."at", greatest(0.0, up + x - 0.5), greatest(0.0, dn - x - 0.5) FROM c JOIN e ON e.user_id=c.user_id AND e.k=c.k+1)
+SELECT user_id AS source, "at", round(greatest(up, dn), 6) AS s FROM c WHERE k > 0""")
 def stream_cusum(spark: SparkSession, d: str) -> DataFrame:
     s = monthly.file_stream(spark, f"{d}/event[s].parquet", _EVENTS).where("value is not null").withColumn("z", (F.col("value") - 50) / 30).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
-    return rounded(monthly.drain(monthly.cusum_stream(s, "user_id", "at", "z"), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"), s=6)
+    with scratch(spark, "stream") as folder:
+        return cut(rounded(monthly.drain(monthly.cusum_stream(s, "user_id", "at", "z"), folder), s=6))

@@ -184,6 +184,22 @@ def choose_external(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dc.choose_external(dc.course(fx.panel24(spark, d), FIRST, LAST), fx.outside(spark, d), OFFSET), rmse=6)
 
 
+_AUTO = GROWTH.replace("FROM map JOIN ext USING (series), os GROUP BY", "FROM map JOIN ext USING (series) GROUP BY")
+_AUTO_RULES = RULES.replace("JOIN map USING (category)", "JOIN map ON map.category=c.category AND map.o=c.o")
+_CHOICE = ORACLE["choose_external"].removeprefix(f"WITH {P24}, {OUTSIDE}, {COURSE}, ")
+
+
+@query("rule_hybrid_automap", f"WITH {P24}, {OUTSIDE}, {COURSE}, map AS (WITH {_CHOICE}), {SEASONAL}, {_AUTO}, {_AUTO_RULES} SELECT category, o, h, round(hybrid, 6) AS n FROM rules")
+def rule_hybrid_automap(spark: SparkSession, d: str) -> DataFrame:
+    """The hybrid rule with the outside series chosen anew at each origin."""
+    c = cut(dc.course(fx.panel24(spark, d), FIRST, LAST))
+    ext = cut(fx.outside(spark, d))
+    chosen = cut(dc.choose_external(c, ext, OFFSET).select("category", "o", "series"))
+    factors = dc.seasonal_factors(ext, 0, fx.cutoffs(spark))
+    out = dc.course_rules(c, dc.growth(c, ext, chosen, OFFSET), factors, chosen, H, START_MONTH)
+    return out.select("category", "o", "h", F.round("hybrid", 6).alias("n"))
+
+
 def _trajectory(spark: SparkSession, d: str, rule: str = "hybrid") -> DataFrame:
     c = dc.course(fx.panel24(spark, d), FIRST, LAST)
     ordered = lambda t, x: F.transform(F.array_sort(F.collect_list(F.struct(t, x))), lambda s: s[x])
@@ -221,7 +237,11 @@ def ensemble_geo_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fo.ensemble(_members(spark, d), ["naive", "seasonal_naive", "panel_seasonal"]), f=2)
 
 
-@query("frozen_forecast")
+_SHA = "sha256(string_agg({}, chr(10) ORDER BY {}))"
+
+
+@query("frozen_forecast", f"""{_ENSEMBLE}, en AS (SELECT entity, category, h, exp(avg(ln(f))) AS f FROM al WHERE o = {LAST} GROUP BY ALL), pe AS (SELECT entity, category, count(*) AS n, {_SHA.format("entity || '|' || category || '|' || h || '|' || printf('%.1f', round(f, 1))", "h")} AS s FROM en GROUP BY 1,2),
+  pp AS (SELECT category, substr(md5(entity), 1, 3) AS p, sum(n) AS n, {_SHA.format("s", "entity")} AS s FROM pe GROUP BY 1,2) SELECT category, CAST(sum(n) AS BIGINT) AS rows, {_SHA.format("s", "p")} AS sha FROM pp GROUP BY 1""")
 def frozen_forecast(spark: SparkSession, d: str) -> DataFrame:
     e = fo.ensemble(_members(spark, d), ["naive", "seasonal_naive", "panel_seasonal"])
     return fo.freeze(e.where(F.col("o") == LAST))
@@ -307,11 +327,19 @@ def cusum_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LAM, _PHI = 0.1, 0.5
-_KALMAN = f"""kf AS (SELECT entity, category, 0 AS t, z*10000/(10000+1/0.75) AS m0, z*(1/0.75)/(10000+1/0.75) AS m1,
-    10000-10000.0*10000/(10000+1/0.75) AS p00, -10000*(1/0.75)/(10000+1/0.75) AS p01, 1/0.75-(1/0.75)*(1/0.75)/(10000+1/0.75) AS p11, NULL::DOUBLE AS v, NULL::DOUBLE AS f FROM z WHERE t=0
+
+
+def _kalman(lam: float, phi: float, name: str = "kf") -> str:
+    """CTE of the filter: the state, innovation and variance of each series and period."""
+    first = f"(1/greatest(1-{phi}*{phi}, 1e-3))"
+    return f"""{name} AS (SELECT entity, category, 0 AS t, z*10000/(10000+{first}) AS m0, z*{first}/(10000+{first}) AS m1,
+    10000-10000.0*10000/(10000+{first}) AS p00, -10000*{first}/(10000+{first}) AS p01, {first}-{first}*{first}/(10000+{first}) AS p11, NULL::DOUBLE AS v, NULL::DOUBLE AS f FROM z WHERE t=0
   UNION ALL SELECT entity, category, t, q0+(q00+q01)/f*v, q1+(q01+q11)/f*v, q00-(q00+q01)*(q00+q01)/f, q01-(q00+q01)*(q01+q11)/f, q11-(q01+q11)*(q01+q11)/f, v, f
-  FROM (SELECT z.entity, z.category, z.t, m0 AS q0, {_PHI}*m1 AS q1, p00+{_LAM} AS q00, {_PHI}*p01 AS q01, {_PHI}*{_PHI}*p11+1 AS q11,
-     z.z - m0 - {_PHI}*m1 AS v, p00+{_LAM}+2*{_PHI}*p01+{_PHI}*{_PHI}*p11+1 AS f FROM kf JOIN z ON z.entity=kf.entity AND z.category=kf.category AND z.t=kf.t+1))"""
+  FROM (SELECT z.entity, z.category, z.t, m0 AS q0, {phi}*m1 AS q1, p00+{lam} AS q00, {phi}*p01 AS q01, {phi}*{phi}*p11+1 AS q11,
+     z.z - m0 - {phi}*m1 AS v, p00+{lam}+2*{phi}*p01+{phi}*{phi}*p11+1 AS f FROM {name} JOIN z ON z.entity={name}.entity AND z.category={name}.category AND z.t={name}.t+1))"""
+
+
+_KALMAN = _kalman(_LAM, _PHI)
 _ZR = f"WITH RECURSIVE {P24}, {OWN}, {scaled('own')}"
 
 
@@ -342,7 +370,20 @@ def ssm_lr_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dt.step_ratio(_z(spark, d), T, _LAM, _PHI), s=4)
 
 
-@query("bocpd_scores")
+def run_length_sql(extra: str = "", hazard: str = "1.0/24") -> str:
+    """The detector with all run lengths of a series as lists in one row; ``extra`` CTEs may
+    change the hazard of a cell."""
+    seen = "list_transform(range(1, len(lr) + 1), lambda i: lr[i] - 0.5*(ln(2*pi()*(va[i]+1)) + (x-mu[i])**2/(va[i]+1)))"
+    lse = lambda a: f"(list_max({a}) + ln(list_sum(list_transform({a}, lambda q: exp(q - list_max({a}))))))"
+    return f"""{_ZR}{extra}, bo AS (SELECT entity, category, -1 AS t, [0.0::DOUBLE] AS lr, [0.0::DOUBLE] AS mu, [9.0::DOUBLE] AS va, 0.0::DOUBLE AS s FROM z WHERE t = 0 UNION ALL
+  SELECT entity, category, t, lr, mu, va, {lse("lr[1:3]")} - (CASE WHEN len(lr) > 3 THEN {lse("lr[4:]")} ELSE -50.0 END) FROM (
+    SELECT entity, category, t, list_transform(w, lambda q: q - {lse("w")}) AS lr, list_prepend(0.0::DOUBLE, list_transform(range(1, len(mu) + 1), lambda i: va[i]/(va[i]+1)*(mu[i]/va[i] + x))) AS mu, list_prepend(9.0::DOUBLE, list_transform(va, lambda q: q/(q+1))) AS va FROM (
+      SELECT entity, category, t, x, mu, va, list_prepend({lse("se")} + ln(hz), list_transform(se, lambda q: q + ln(1-hz))) AS w FROM (
+        SELECT bo.entity, bo.category, z.t, z.z AS x, mu, va, {hazard} AS hz, {seen.replace("x-mu", "z.z-mu")} AS se FROM bo JOIN z ON z.entity=bo.entity AND z.category=bo.category AND z.t=bo.t+1))))
+SELECT entity, category, t, round(s, 4) AS s FROM bo WHERE t >= 0"""
+
+
+@query("bocpd_scores", run_length_sql())
 def bocpd_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dt.run_length(_z(spark, d), T), s=4)
 
@@ -357,40 +398,18 @@ def ssm_fit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dt.fit_categories(_z(spark, d), T), lam=4, phi=4, loss=2)
 
 
-@query("ssm_fit_grid")
-def ssm_fit_grid(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(dt.fit_grid(_z(spark, d), T, [(lam, phi) for lam in (0.01, 0.1, 1.0) for phi in (0.2, 0.6)]), loss=2)
+_GRID = [(lam, phi) for lam in (0.01, 0.1, 1.0) for phi in (0.2, 0.6)]
+_LOSSES = " UNION ALL ".join(f"SELECT category, {lam}::DOUBLE AS lam, {phi}::DOUBLE AS phi, count(v)*ln(sum(v*v/f)/count(v))+sum(ln(f)) AS loss FROM kg{i} GROUP BY 1" for i, (lam, phi) in enumerate(_GRID))
 
 
-def _wide(spark: SparkSession, d: str, seed: int) -> tuple[DataFrame, DataFrame]:
-    z = cut(dt.inject(_z(spark, d), 0.3, 8, 20, [2.0, 4.0, 6.0], seed))
-    truth = z.select("entity", "category", "inj", "tau").distinct()
-    return dt.cusum(z.select("entity", "category", "t", "z"), T), truth
+@query("ssm_fit_grid", f"{_ZR}, {', '.join(_kalman(lam, phi, f'kg{i}') for i, (lam, phi) in enumerate(_GRID))}, l AS ({_LOSSES}) SELECT category, arg_min(lam, loss) AS lam, arg_min(phi, loss) AS phi, round(min(loss), 2) AS loss FROM l GROUP BY 1")
+def ssm_fit_grid(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(dt.fit_grid(_z(spark, d), T, _GRID), loss=2)
 
 
 _ALPHAS = [0.05, 0.1, 0.2]
 
 
-@query("injection_study")
-def injection_study(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for seed in (0, 1):
-        one = dt.calibrated(*_wide(spark, d, seed), 8, _ALPHAS).withColumn("seed", F.lit(seed))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out, threshold=4, recall=6, precision=6, delay=4, early=6)
-
-
-@query("detection_summary")
-def detection_summary(spark: SparkSession, d: str) -> DataFrame:
-    runs = None
-    for seed in (0, 1):
-        one = dt.calibrated(*_wide(spark, d, seed), 8, _ALPHAS).withColumn("seed", F.lit(seed))
-        runs = one if runs is None else runs.unionByName(one)
-    area = dt.partial_area(runs, ["seed"], "alpha", "recall", 0.2)
-    means = runs.groupBy("alpha").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.stddev_samp("recall"), 6).alias("spread"))
-    return means.crossJoin(F.broadcast(area.agg(F.round(F.avg("pauc"), 6).alias("pauc"))))
-
-
 _SCORE = f"{_Z}, s AS (SELECT entity, category, t, abs(z) AS s FROM z)"
 
 
@@ -434,7 +453,7 @@ def pauc(spark: SparkSession, d: str) -> DataFrame:
   cl AS (SELECT h, avg(g)/nullif(stddev_samp(g)/sqrt(count(*)), 0) AS dm, count(*) AS n FROM (SELECT h, o, entity, sum(dl) AS g FROM d GROUP BY 1,2,3) GROUP BY 1), mm AS (SELECT h, avg(dl) AS mean_diff FROM d GROUP BY 1)
 SELECT h, round(mean_diff,2) AS mean_diff, round(CASE WHEN T >= 4 THEN ms/sqrt(greatest(v,1e-12)/T) ELSE cl.dm END, 4) AS dm, CASE WHEN T >= 4 THEN T ELSE n END AS units FROM mm JOIN vv USING (h) JOIN cl USING (h)""")
 def dm_statistic(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ev.diebold_mariano(cut(_paired(spark, d)), "naive", "seasonal_naive"), mean_diff=2, dm=4)
+    return rounded(ev.diebold_mariano(cut(_paired(spark, d)), "naive", "seasonal_naive").drop("by_unit"), mean_diff=2, dm=4)
 
 
 _ZQ = ev.winkler_quantile(0.8)
@@ -506,11 +525,15 @@ def common_series_losses(spark: SparkSession, d: str) -> DataFrame:
 
 @query("kemeny")
 def kemeny(spark: SparkSession, d: str) -> DataFrame:
+    return kemeny_order(ev.pairwise(_ranks(spark, d), ["h", "category"]))
+
+
+def kemeny_order(pairwise_wins: DataFrame) -> DataFrame:
     import numpy as np
 
     from veska.operators.kernels import kemeny as order
 
-    rows = ev.pairwise(_ranks(spark, d), ["h", "category"]).collect()  # one row per pair of models
+    spark, rows = pairwise_wins.sparkSession, pairwise_wins.collect()  # one row per pair of models
     names = sorted({r["a"] for r in rows})
     wins = np.zeros((len(names), len(names)))
     for r in rows:
@@ -528,8 +551,8 @@ def mcs(spark: SparkSession, d: str) -> DataFrame:
     sums = cut(ev.cluster_sums(ev.common_losses(p, ["naive", "seasonal_naive", "panel_seasonal"])))
     total = {r["model"]: (r["s"], r["n"]) for r in sums.groupBy("model").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
     names = sorted(total)
-    boot = np.zeros((200, len(names)))
-    for r in ev.bootstrap_means(sums, 200).collect():  # draws x models
+    boot = np.zeros((1000, len(names)))
+    for r in ev.bootstrap_means(sums, 1000).collect():  # draws x models
         boot[r["b"], names.index(r["model"])] = r["d"]
     p_values = confidence_set(np.array([total[m][0] for m in names]), np.array([total[m][1] for m in names], float), boot, 0.1)
     return spark.createDataFrame([(m, float(round(x, 4))) for m, x in zip(names, p_values)], "model string, p double")

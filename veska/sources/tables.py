@@ -80,9 +80,32 @@ def clean_json(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def markdown(rows: DataFrame, most: int = 1000) -> str:
-    """A report of at most ``most`` rows as a Markdown table."""
-    got = rows.limit(most).collect()
+def write_frozen(forecasts: DataFrame, folder: str, about: dict) -> dict:
+    """Rows (entity, category, h, f), f to one decimal, as gzip CSV files in order of their
+    keys under ``forecast``, and ``manifest`` beside them: what ``about`` says, the rows and
+    the SHA-256 of each category.  Files hold ranges of the order, so no task holds all."""
+    import json
+
+    from veska.operators.forecast import freeze
+    from veska.session import cut
+
+    spark = forecasts.sparkSession
+    rows = cut(forecasts.where("f is not null").withColumn("f", F.round("f", 1)))
+    write_csv(rows.repartitionByRange("category", "entity", "h").sortWithinPartitions("category", "entity", "h"), f"{folder}/forecast", gzip=True)
+    digest = freeze(rows).collect()  # one row per category
+    manifest = {**about, "rows": sum(r["rows"] for r in digest), "sha256": {r["category"]: r["sha"] for r in digest}}
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    return manifest
+
+
+def markdown(rows: DataFrame, order: str | None = None, descending: bool = False, most: int = 1000) -> str:
+    """A report as a Markdown table, ordered by a column if asked; a table of more than
+    ``most`` rows is no report and raises."""
+    if order:
+        rows = rows.orderBy(F.desc(order) if descending else F.asc(order))
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows are no report")
     show = lambda x: "" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x)
     head = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join(head + ["| " + " | ".join(show(x) for x in r) + " |" for r in got])
