@@ -41,22 +41,28 @@ def classify(docs: DataFrame, doc_id: str, text: str, kinds: dict[str, list[str]
     return docs.select(doc_id, F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("kind"))
 
 
-def monthly_kinds(docs: DataFrame, doc_id: str, stamp: str, kinds: DataFrame) -> DataFrame:
-    """(month, kind, n) with kind 'all' for all documents of the month."""
-    months = docs.select(doc_id, F.date_format(stamp, "yyyy-MM").alias("month")).where("month is not null")
-    by = months.join(kinds, doc_id).groupBy("month", "kind").agg(F.count("*").alias("n"))
-    return by.unionByName(months.groupBy("month").agg(F.count("*").alias("n")).select("month", F.lit("all").alias("kind"), "n"))
+def monthly_kinds(docs: DataFrame, text: str, stamp: str, kinds: dict[str, list[str]]) -> DataFrame:
+    """(month, kind, n) with kind 'all' for all documents of the month; one pass."""
+    t = F.lower(F.coalesce(F.col(text), F.lit("")))
+    found = F.array_compact(F.array(F.lit("all"), *[F.when(t.rlike(r"(?<!\p{L})(?:" + "|".join(stems) + ")"), F.lit(k)) for k, stems in kinds.items()]))
+    each = docs.where(F.col(stamp).isNotNull()).select(F.date_format(stamp, "yyyy-MM").alias("month"), F.explode(found).alias("kind"))
+    return each.groupBy("month", "kind").agg(F.count("*").alias("n"))
 
 
-def located(words: DataFrame, doc_id: str, gazetteer: DataFrame, adjacent: list[str]) -> DataFrame:
+def located(docs: DataFrame, doc_id: str, text: str, gazetteer: DataFrame, adjacent: list[str]) -> DataFrame:
     """(doc_id, code): places whose stem a capitalised word shows.  A stem of several places
     counts only where another place of its region is named in the text; an adjective only
-    before one of the ``adjacent`` words.  ``gazetteer``: (stem, code, region, adjective)."""
-    w = Window.partitionBy(doc_id).orderBy("pos")
-    t = words.select(doc_id, "pos", stem(F.col("word")).alias("stem"), "capital", F.lead(stem(F.col("word"))).over(w).alias("next"))
-    many = F.count("code").over(Window.partitionBy("stem"))
-    g = gazetteer.withColumn("options", many)
-    hit = t.where("capital").join(g, "stem").where(~F.col("adjective") | F.col("next").isin(adjacent))
+    before one of the ``adjacent`` words.  ``gazetteer``: (stem, code, region, adjective).
+    Each word looks at the next inside its document's own array, so words never move to
+    meet their neighbours; capitalised words meet the places in a join."""
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(\p{L}+)"), F.lit(1))
+    first = lambda w: F.substring(w, 1, 1)
+    each = F.transform("_w", lambda w, i: F.struct(w.alias("w"), F.get("_w", i + 1).alias("next")))
+    capital = F.filter(each, lambda x: first(x["w"]) != F.lower(first(x["w"])))
+    t = docs.select(doc_id, words.alias("_w")).select(doc_id, F.explode(F.array_distinct(capital)).alias("x"))
+    t = t.select(doc_id, stem(F.lower("x.w")).alias("stem"), stem(F.lower("x.next")).alias("next"))
+    g = gazetteer.withColumn("options", F.count("code").over(Window.partitionBy("stem")))
+    hit = t.join(g, "stem").where(~F.col("adjective") | F.col("next").isin(adjacent))
     sure = hit.where("options = 1").select(doc_id, "region").distinct()
     return hit.where("options = 1").select(doc_id, "code").union(hit.where("options > 1").join(sure, [doc_id, "region"]).select(doc_id, "code")).distinct()
 

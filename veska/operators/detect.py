@@ -150,8 +150,8 @@ def step_ratio(z: DataFrame, periods: int, lam: float, phi: float, window: int =
 def fit_series(series: DataFrame, by: list[str], finest: float = 5e-4) -> DataFrame:
     """(by, lam, phi, scale, loss): maximum likelihood per group from all its series, by a grid
     over ln lam and atanh phi that closes in on each group's best point.  ``series``: (by, z
-    ARRAY); each round is one pass that sums the evidence where the series lie."""
-    spark, series = series.sparkSession, cut(series.select(*by, "z"))
+    ARRAY and, where the level's variance is raised in some periods, q ARRAY); each round is one pass that sums the evidence where the series lie."""
+    spark, series = series.sparkSession, cut(series.select(*by, "z", *[c for c in ("q",) if c in series.columns]))
     keys = ", ".join(f"{c} {series.schema[c].dataType.simpleString()}" for c in by)
     most = 40
 
@@ -159,7 +159,8 @@ def fit_series(series: DataFrame, by: list[str], finest: float = 5e-4) -> DataFr
         for df in batches:
             for key, g in df.groupby(by):
                 z = np.array([[np.nan if x is None else x for x in v] for v in g["z"]], float)
-                k, ss, ld = local_sums(z, np.exp(np.array(g["xs"].iloc[0])), np.tanh(np.array(g["es"].iloc[0])))
+                q = np.array(g["q"].tolist(), float) if "q" in g else None
+                k, ss, ld = local_sums(z, np.exp(np.array(g["xs"].iloc[0])), np.tanh(np.array(g["es"].iloc[0])), q)
                 yield pd.DataFrame([(*key, k, ss.tolist(), ld.tolist())], columns=[*by, "k", "ss", "ld"])
 
     def best(points: dict[tuple, np.ndarray]) -> dict[tuple, tuple[np.ndarray, float, float]]:

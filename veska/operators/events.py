@@ -29,6 +29,16 @@ def boost(panel: DataFrame, events: DataFrame, factor: float, spread: int = 1) -
     return b.select(*SERIES, "t", F.coalesce("_b", F.lit(1.0)).alias("boost"))
 
 
+def known_boosts(events: DataFrame, first: int, last: int, factor: float, spread: int = 1) -> DataFrame:
+    """(o, entity, q ARRAY of periods 0 to o): ``factor`` in an event's period and the
+    ``spread`` next ones, else 1, of the events known at each origin.  ``events``: (ids, t,
+    known), ``known`` the first origin that knows of it; entities without one have no row."""
+    e = events.select(F.explode("ids").alias("entity"), F.explode(F.sequence(F.col("t"), F.col("t") + spread)).alias("t"), "known")
+    at = e.withColumn("o", F.explode(F.sequence(F.lit(first), F.lit(last)))).where((F.col("known") <= F.col("o")) & (F.col("t") <= F.col("o")))
+    hit = at.groupBy("o", "entity").agg(F.collect_set("t").alias("ts"))
+    return hit.select("o", "entity", F.transform(F.sequence(F.lit(0), F.col("o")), lambda t: F.when(F.array_contains("ts", t), float(factor)).otherwise(1.0)).alias("q"))
+
+
 def impute_region(entities: DataFrame, known: DataFrame, per_range: int = 1_000_000) -> DataFrame:
     """(entity, region, how): the region of an entity is its own, or that of the nearest
     known ids on both sides if they agree, else of the nearer one (ties: the lower id).

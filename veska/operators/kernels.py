@@ -84,14 +84,14 @@ def local_filter(z: np.ndarray, lam: float | np.ndarray, phi: float | np.ndarray
     return {"m0": m0, "m1": m1, "p00": p00, "p01": p01, "p11": p11, "v": v, "f": f, "scale": scale, "loss": loss}
 
 
-def local_sums(z: np.ndarray, lam: np.ndarray, phi: np.ndarray, most: int = 2_000_000) -> tuple[int, np.ndarray, np.ndarray]:
+def local_sums(z: np.ndarray, lam: np.ndarray, phi: np.ndarray, boost: np.ndarray | None = None, most: int = 2_000_000) -> tuple[int, np.ndarray, np.ndarray]:
     """Evidence of many series on each of some parameter pairs: observations, sums of v^2/f
     and of ln f.  Sums of parts of the series add up; ``most`` cells are filtered at once."""
     n, periods = z.shape
     step, ss, ld, k = max(1, most // max(n * periods, 1)), [], [], 0
     for i in range(0, len(lam), step):
         x, p = lam[i : i + step], phi[i : i + step]
-        got = local_filter(np.tile(z, (len(x), 1)), np.repeat(x, n), np.repeat(p, n))
+        got = local_filter(np.tile(z, (len(x), 1)), np.repeat(x, n), np.repeat(p, n), None if boost is None else np.tile(boost, (len(x), 1)))
         v, f = got["v"].reshape(len(x), -1), got["f"].reshape(len(x), -1)
         k = int((~np.isnan(v[0])).sum())
         ss.append(np.nansum(v * v / f, axis=1)), ld.append(np.nansum(np.log(f), axis=1))
@@ -143,7 +143,7 @@ def airline(x: np.ndarray, horizon: int) -> np.ndarray:
     return np.array(y[len(x) :])
 
 
-#: Penalties of the segmentation detector, in units of the noise variance.
+# Penalties of the segmentation detector, in units of the noise variance.
 PENALTIES = (1, 2, 3, 4, 6, 8, 11, 15, 20, 30, 45, 70, 100, 150, 220, 330, 500)
 
 

@@ -38,12 +38,15 @@ def own_parts(seen: DataFrame) -> DataFrame:
     return known.select(*KEYS, "nf", "k", F.transform("z", lambda x: x / F.sqrt("k")).alias("z"))
 
 
-def panel_ssm(packed_logs: DataFrame, trajectory: DataFrame, first: int, last: int, horizon: int) -> DataFrame:
+def panel_ssm(packed_logs: DataFrame, trajectory: DataFrame, first: int, last: int, horizon: int, boosts: DataFrame | None = None) -> DataFrame:
     """Level plus AR(1) around the common course: (model, o, entity, category, h, f, var),
-    ``var`` the variance of the own part's forecast in logs.  A series without a reading up
+    ``var`` the variance of the own part's forecast in logs.  ``boosts`` (o, entity, q ARRAY up
+    to o) raise the variance of the level's steps where events known at the origin fall.  A series without a reading up
     to the origin has no forecast.  ``trajectory``: (category, o, n, nf)."""
     seen = origins(packed_logs, first, last).join(F.broadcast(trajectory), ["category", "o"])
     parts = own_parts(seen)
+    if boosts is not None:
+        parts = parts.join(boosts, ["o", "entity"], "left").withColumn("q", F.coalesce("q", F.transform("z", lambda _: F.lit(1.0))))
     fitted = fit_series(parts, ["category", "o"])
     h = np.arange(1, horizon + 1)
 
@@ -54,7 +57,7 @@ def panel_ssm(packed_logs: DataFrame, trajectory: DataFrame, first: int, last: i
                 z = np.array([[np.nan if x is None else x for x in v] for v in g["z"]], float)
                 k = g["k"].to_numpy()
                 lam, phi, scale = g["lam"].iloc[0], g["phi"].iloc[0], g["scale"].iloc[0]
-                s = local_filter(z, lam, phi)
+                s = local_filter(z, lam, phi, np.array(g["q"].tolist(), float) if "q" in g else None)
                 root = np.sqrt(k)[:, None]
                 path = np.array(g["nf"].tolist()) + root * s["m0"][:, None] + phi**h * root * s["m1"][:, None]
                 var = s["p00"][:, None] + 2 * phi**h * s["p01"][:, None] + phi ** (2 * h) * s["p11"][:, None]
@@ -70,7 +73,7 @@ def panel_ssm(packed_logs: DataFrame, trajectory: DataFrame, first: int, last: i
     kind = packed_logs.schema["entity"].dataType.simpleString()
     got = parts.join(F.broadcast(fitted), ["category", "o"]).mapInPandas(run, f"o int, entity {kind}, category string, fs array<double>, vs array<double>")
     each = got.select(*KEYS, F.posexplode(F.arrays_zip("fs", "vs")).alias("h", "x"))
-    return each.select(F.lit("panel_ssm").alias("model"), *KEYS, (F.col("h") + 1).alias("h"), F.col("x.fs").alias("f"), F.col("x.vs").alias("var"))
+    return each.select(F.lit("panel_ssm" if boosts is None else "panel_ssm_news").alias("model"), *KEYS, (F.col("h") + 1).alias("h"), F.col("x.fs").alias("f"), F.col("x.vs").alias("var"))
 
 
 def with_intervals(forecasts: DataFrame, course_mse: DataFrame, mapping: DataFrame, level: float) -> DataFrame:

@@ -154,6 +154,25 @@ def news_prior(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dt.with_news(_scores(spark, d), _hits(spark, d), 25.0), s=4)
 
 
+@query("panel_ssm_news_forecast")
+def panel_ssm_news_forecast(spark: SparkSession, d: str) -> DataFrame:
+    from veska.operators.local_model import panel_ssm
+
+    known = (F.year("announced") - 1999) * 12 + F.month("announced") - 8  # of the short panel from 1999-08
+    events = fx.catalogue(spark).select("ids", F.col("month").alias("t"), known.alias("known"))
+    out = panel_ssm(pq._logs(spark, d), cut(pq._trajectory(spark, d)), FIRST, LAST, H, evt.known_boosts(events, FIRST, LAST, 25.0))
+    return rounded(out, f=2, var=6)
+
+
+@query("known_boosts", f"""WITH {_CAT}, e AS (SELECT entity, CAST(month + s AS INTEGER) AS t, (year(announced)-1999)*12+month(announced)-8 AS known FROM (SELECT unnest(ids) AS entity, month, announced FROM cat), range(0,2) x(s)), os AS (SELECT CAST(o AS INTEGER) AS o FROM range({FIRST},{LAST + 1}) r(o)),
+  k AS (SELECT DISTINCT o, entity, t FROM e, os WHERE known <= o AND t <= o), g AS (SELECT o, entity, CAST(unnest(range(0, o+1)) AS INTEGER) AS t FROM (SELECT DISTINCT o, entity FROM k))
+SELECT g.o, g.entity, g.t, CASE WHEN k.t IS NULL THEN 1.0::DOUBLE ELSE 25.0::DOUBLE END AS q FROM g LEFT JOIN k ON k.o=g.o AND k.entity=g.entity AND k.t=g.t""")
+def known_boosts(spark: SparkSession, d: str) -> DataFrame:
+    known = (F.year("announced") - 1999) * 12 + F.month("announced") - 8
+    events = fx.catalogue(spark).select("ids", F.col("month").alias("t"), known.alias("known"))
+    return evt.known_boosts(events, FIRST, LAST, 25.0).select("o", "entity", F.posexplode("q").alias("t", "q"))
+
+
 @query("bocpd_news_scores", pq.run_length_sql(f", {_CAT}, bst AS (SELECT DISTINCT entity, CAST(month + s AS INTEGER) AS t FROM (SELECT unnest(ids) AS entity, month FROM cat), range(0,2) x(s))", "least(CASE WHEN EXISTS (SELECT 1 FROM bst WHERE bst.entity=z.entity AND bst.t=z.t) THEN 25.0 ELSE 1.0 END/24, 0.99)"))
 def bocpd_news_scores(spark: SparkSession, d: str) -> DataFrame:
     z = cut(_z(spark, d))
@@ -244,16 +263,22 @@ def classify_types(spark: SparkSession, d: str) -> DataFrame:
 @query("monthly_type_counts", f"""WITH k AS ({_KINDS}), m AS (SELECT doc_id, strftime(published_at, '%Y-%m') AS month FROM documents WHERE published_at IS NOT NULL)
 SELECT month, kind, count(*) AS n FROM m JOIN k USING (doc_id) GROUP BY 1,2 UNION ALL SELECT month, 'all', count(*) FROM m GROUP BY 1""")
 def monthly_type_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return tx.monthly_kinds(docs, "doc_id", "published_at", tx.classify(docs, "doc_id", "text", KINDS))
+    return tx.monthly_kinds(table(spark, d, "documents"), "text", "published_at", KINDS)
+
+
+def _stem(word: str) -> str:
+    return f"regexp_replace({word}, '^(.{{3,}}?)(?:{_ENDS})$', '\\1')"
 
 
-@query("locate_places")
+@query("locate_places", rf"""WITH w AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS w FROM (SELECT doc_id, regexp_extract_all(text, '\pL+') AS l FROM documents WHERE text IS NOT NULL)),
+  t AS (SELECT doc_id, {_stem('lower(w)')} AS stem, substr(w,1,1) <> lower(substr(w,1,1)) AS capital, lead({_stem('lower(w)')}) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM w),
+  g0 AS (SELECT {_stem('lower(name_short)')} AS stem, territory_id AS code, region_code AS region, name_short LIKE '%ий' AS adjective FROM mo_dict), g AS (SELECT *, count(*) OVER (PARTITION BY stem) AS options FROM g0),
+  h AS (SELECT doc_id, code, region, options FROM t JOIN g USING (stem) WHERE capital AND (NOT adjective OR nx IN ('район','округ'))), s AS (SELECT DISTINCT doc_id, region FROM h WHERE options = 1)
+SELECT code, count(*) AS docs FROM (SELECT doc_id, code FROM h WHERE options = 1 UNION SELECT doc_id, code FROM h JOIN s USING (doc_id, region) WHERE options > 1) GROUP BY 1""")
 def locate_places(spark: SparkSession, d: str) -> DataFrame:
     mo = table(spark, d, "mo_dict")
     g = mo.select(tx.stem(F.lower("name_short")).alias("stem"), F.col("territory_id").alias("code"), F.col("region_code").alias("region"), F.col("name_short").endswith("ий").alias("adjective"))
-    words = tx.tokens(table(spark, d, "documents"), "doc_id", "text")
-    return tx.located(words, "doc_id", g, ["район", "округ"]).groupBy("code").agg(F.count("*").alias("docs"))
+    return tx.located(table(spark, d, "documents"), "doc_id", "text", g, ["район", "округ"]).groupBy("code").agg(F.count("*").alias("docs"))
 
 
 @query("html_item_extract", r"""WITH i AS (SELECT doc_id, unnest(regexp_extract_all(text, '<p>([^<]*)</p>', 1)) AS item FROM documents WHERE text IS NOT NULL)
@@ -264,10 +289,9 @@ def html_item_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query("dedupe_keep_first", "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY coalesce(text, '')")
 def dedupe_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    first = tx.first_seen(docs, ["text"], ["doc_id"])
-    n = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("n"))
-    return first.withColumn("h", F.sha2("text", 256)).join(n, "h").select("doc_id", "n")
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))  # digests move, texts do not
+    first = tx.first_seen(docs, ["h"], ["doc_id"])
+    return first.join(docs.groupBy("h").agg(F.count("*").alias("n")), "h").select("doc_id", "n")
 
 
 @query("region_keys", r"SELECT DISTINCT region_name, trim(regexp_replace(lower(region_name), '(республика|область|край)', '')) AS key FROM mo_dict")

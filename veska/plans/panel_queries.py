@@ -103,7 +103,12 @@ def two_way_effects(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dc.course(fx.panel24(spark, d), FIRST, LAST), n=6)
 
 
-@query("two_way_unbalanced")
+_ROUNDS = ", ".join(f"a{k} AS MATERIALIZED (SELECT entity, category, avg(y - n) AS a FROM c JOIN n{k} USING (category, t) GROUP BY 1,2), n{k + 1} AS MATERIALIZED (SELECT category, t, avg(y - a) AS n FROM c JOIN a{k} USING (entity, category) GROUP BY 1,2)" for k in range(30))
+
+
+@query("two_way_unbalanced", f"""WITH c AS MATERIALIZED (SELECT user_id AS entity, event_type AS category, day(ts)-1 AS t, ln(arg_min(value, (ts, value))) AS y FROM events WHERE month(ts)=1 AND year(ts)=2024 AND value > 0 AND isfinite(value) GROUP BY 1,2,3),
+  n0 AS MATERIALIZED (SELECT category, t, avg(y) AS n FROM c GROUP BY 1,2), {_ROUNDS}, s AS (SELECT category, avg(n) AS s FROM n30 GROUP BY 1)
+SELECT entity, category, round(avg(y - n) + any_value(s), 6) AS a FROM c JOIN n30 USING (category, t) JOIN s USING (category) GROUP BY 1,2""")
 def two_way_unbalanced(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("year(ts) = 2024 and month(ts) = 1")
     p = pn.build_panel(e, "user_id", "event_type", F.dayofmonth("ts") - 1, "value", "ts")
