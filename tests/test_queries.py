@@ -12,12 +12,13 @@ import __spark_entry__ as entry
 from veska.operators import decompose as dc
 from veska.operators import forecast as fo
 from veska.operators.panel import packed
-from veska.plans import event_queries, panel_queries
+from veska.plans import event_queries, panel_queries, study_queries
 
 NAMES = [
     "panel_build", "panel_completeness", "panel_user_gaps", "gap_interpolation", "metrics_grouping_sets", "two_way_effects", "seasonal_factors", "choose_external",
     "lag_features", "neighbours_topk", "confirmed_shifts", "borda", "copeland", "region_impute_nearest", "catalogue_merge", "boost_grid", "tokenise", "classify_types",
     "monthly_type_counts", "dedupe_keep_first", "csv_round_trip", "forecast_store", "json_field_scan", "stream_daily_counts",
+    "bocpd_scores", "ssm_fit_grid", "frozen_forecast", "stems", "clean_json_rows", "stream_cusum", "locate_places", *study_queries.ORACLE,
 ]
 
 
@@ -38,7 +39,7 @@ def plain(df):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, duck, small, name):
-    module = panel_queries if name in panel_queries.QUERIES else event_queries
+    module = next(m for m in (panel_queries, event_queries, study_queries) if name in m.QUERIES)
     got = module.QUERIES[name](spark, small).toPandas()
     want = duck.sql(module.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
