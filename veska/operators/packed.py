@@ -221,20 +221,19 @@ def _learn(edges: DataFrame, fixed: DataFrame, start: DataFrame, tolerance: floa
     as long as what it saves exceeds what it costs to spell: the weight of its atoms, and
     JOIN for each delimiter inside.
     """
-    counts, before, dropped = cut(start), -math.inf, 0
+    counts, before, dropped = start, -math.inf, 0
     total = counts.agg(F.sum("c")).first()[0] or 1.0
+    is_named = start.select(F.col("val").alias("v"), "named")
+    known = fixed.select("val", "k", "c", F.lit(None).cast("double").alias("apart"), "named")
     while True:
-        got = cut(_weighed(edges, counts, total).mapInPandas(_expect, "val string, k int, c double, apart double"))
-        found = got.where("val is not null").groupBy("val").agg(F.sum("c").alias("c"), F.first("k").alias("k"), F.max("apart").alias("apart"))
-        mine = start.select(F.col("val").alias("v"), "named")
-        found = found.join(mine, F.col("val") == F.col("v"), "left").drop("v").unionByName(fixed.select("val", "c", "k", F.lit(None).cast("double").alias("apart"), "named"))
-        merged = cut(found.groupBy("val").agg(F.sum("c").alias("c"), F.max("k").alias("k"), F.max("apart").alias("apart"), F.max("named").alias("named")))
-        total = merged.agg(F.sum("c")).first()[0]
+        got = _weighed(edges, counts, total).mapInPandas(_expect, "val string, k int, c double, apart double")
+        found = got.join(is_named, F.col("val") == F.col("v"), "left").drop("v").unionByName(known)
+        merged = cut(found.groupBy("val").agg(F.sum("c").alias("c"), F.max("k").alias("k"), F.max("apart").alias("apart"), F.coalesce(F.max("named"), F.lit(False)).alias("named")))
+        value = F.col("val").isNotNull()
+        total, now, held = merged.agg(F.sum(F.when(value, F.col("c"))), F.sum(F.when(~value, F.col("c"))), F.count_if(value)).first()
         saved = F.col("c") * (F.log(F.col("c") / total) - F.col("apart")) + F.col("apart") + (F.col("k") - 1) * math.log(JOIN)
-        kept = merged.where(F.coalesce("named", F.lit(False)) | (F.col("k") < 2) | ((F.col("c") > 0) & (saved > 0)))
-        now = got.where("val is null").agg(F.sum("c")).first()[0]
-        gone = merged.count() - kept.count()
-        counts = cut(kept.select("val", "c", "k", F.coalesce("named", F.lit(False)).alias("named")))
+        counts = merged.where(value & (F.col("named") | (F.col("k") < 2) | ((F.col("c") > 0) & (saved > 0)))).select("val", "c", "k", "named")
+        gone = held - counts.count()
         if abs(now - before) <= tolerance * abs(now) and gone == dropped:
             return counts, total
         before, dropped = now, gone
@@ -301,7 +300,7 @@ def split_packed(rows: DataFrame, field: str, lexicon: DataFrame | None = None,
     values = spans.withColumn("paths", F.lit(None).cast("array<struct<at:int,ends:array<int>>>"))
     if not edges.isEmpty():
         fixed = cut(fixed)
-        start = fixed.unionByName(several).groupBy("val").agg(F.sum("c").alias("c"), F.first("k").alias("k"), F.max("named").alias("named"))
+        start = cut(fixed.unionByName(several).groupBy("val").agg(F.sum("c").alias("c"), F.first("k").alias("k"), F.max("named").alias("named")))
         counts, total = _learn(edges, fixed, start, tolerance)
         best = _weighed(edges, counts, total).mapInPandas(_best, "sub string, ends array<int>")
         chosen = parts.where("edges is not null").join(best, F.col("val") == F.col("sub"))
