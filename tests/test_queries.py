@@ -18,7 +18,7 @@ NAMES = [
     "panel_build", "panel_completeness", "panel_user_gaps", "gap_interpolation", "metrics_grouping_sets", "two_way_effects", "seasonal_factors", "choose_external",
     "lag_features", "neighbours_topk", "confirmed_shifts", "borda", "copeland", "region_impute_nearest", "catalogue_merge", "boost_grid", "tokenise", "classify_types",
     "monthly_type_counts", "dedupe_keep_first", "csv_round_trip", "forecast_store", "json_field_scan", "stream_daily_counts",
-    "bocpd_scores", "ssm_fit_grid", "frozen_forecast", "stems", "clean_json_rows", "stream_cusum", "locate_places", *study_queries.ORACLE,
+    "frozen_forecast", "stems", "clean_json_rows", "stream_cusum", "locate_places", *study_queries.ORACLE,
 ]
 
 

@@ -152,13 +152,14 @@ def growth_variants(series: DataFrame, cutoffs: DataFrame, base: int) -> DataFra
 
 def outside_errors(series: DataFrame, periods: list[tuple[str, int, int]], horizon: int) -> DataFrame:
     """(period, rule, h, err, origins): mean error in per cent of rules for the outside series
-    themselves, over the origins of named periods: the last value, the value a year
+    themselves, over the origins of named periods that have a value: the last value, the value a year
     before, and that plus the yearly growth of the last three months."""
     spans = series.sparkSession.createDataFrame(periods, "period string, a int, z int")
     by = series.groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("t", "x"))).alias("m"))  # one map per series
     o = by.crossJoin(F.broadcast(spans)).withColumn("o", F.explode(F.sequence("a", "z"))).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     x = lambda t: F.try_element_at("m", t.cast("int"))
     at, h = F.col("o"), F.col("h")
+    o = o.where(x(at).isNotNull())
     growth = (x(at) + x(at - 1) + x(at - 2) - x(at - 12) - x(at - 13) - x(at - 14)) / 3
     rules = {"naive": x(at), "seasonal_naive": x(at + h - 12), "seasonal_growth": x(at + h - 12) + growth}
     each = o.select("period", "series", "o", "h", x(at + h).alias("y"), F.explode(F.create_map(*[c for k, v in rules.items() for c in (F.lit(k), v)])).alias("rule", "f")).where("y is not null and f is not null")

@@ -120,10 +120,10 @@ def growth_variants(spark: SparkSession, d: str) -> DataFrame:
 _PERIODS = [("early", 26, 40), ("late", 45, 66)]
 
 
-@query("outside_errors", f"""WITH {OUTSIDE}, pe AS (SELECT * FROM (VALUES {", ".join(f"('{p}',{a},{z})" for p, a, z in _PERIODS)}) v(period, a, z)), b AS (SELECT period, o0.series, o0.t AS o, h, o0.x AS x0, y.x AS y, sn.x AS s, (SELECT sum(CASE WHEN e.t > o0.t-3 THEN e.x ELSE -e.x END)/3 FROM ext e WHERE e.series=o0.series AND (e.t BETWEEN o0.t-2 AND o0.t OR e.t BETWEEN o0.t-14 AND o0.t-12)) AS g
-    FROM ext o0 JOIN pe ON o0.t BETWEEN a AND z CROSS JOIN (SELECT CAST(h AS INTEGER) AS h FROM range(1,{H + 1}) r(h)) JOIN ext y ON y.series=o0.series AND y.t=o0.t+h JOIN ext sn ON sn.series=o0.series AND sn.t=o0.t+h-12),
+@query("outside_errors", f"""WITH {OUTSIDE}, pe AS (SELECT * FROM (VALUES {", ".join(f"('{p}',{a},{z})" for p, a, z in _PERIODS)}) v(period, a, z)), b AS (SELECT period, o0.series, o0.t AS o, h, o0.x AS x0, y.x AS y, sn.x AS s, (SELECT CASE WHEN count(*) = 6 THEN sum(CASE WHEN e.t > o0.t-3 THEN e.x ELSE -e.x END)/3 END FROM ext e WHERE e.series=o0.series AND (e.t BETWEEN o0.t-2 AND o0.t OR e.t BETWEEN o0.t-14 AND o0.t-12)) AS g
+    FROM ext o0 JOIN pe ON o0.t BETWEEN a AND z CROSS JOIN (SELECT CAST(h AS INTEGER) AS h FROM range(1,{H + 1}) r(h)) JOIN ext y ON y.series=o0.series AND y.t=o0.t+h LEFT JOIN ext sn ON sn.series=o0.series AND sn.t=o0.t+h-12),
   f AS (SELECT period, 'naive' AS rule, h, o, abs(y-x0) AS e FROM b UNION ALL SELECT period, 'seasonal_naive', h, o, abs(y-s) FROM b UNION ALL SELECT period, 'seasonal_growth', h, o, abs(y-s-g) FROM b)
-SELECT period, rule, h, round(100*avg(e),5) AS err, count(DISTINCT o) AS origins FROM f GROUP BY 1,2,3""")
+SELECT period, rule, h, round(100*avg(e),5) AS err, count(DISTINCT o) AS origins FROM f WHERE e IS NOT NULL GROUP BY 1,2,3""")
 def outside_errors(spark: SparkSession, d: str) -> DataFrame:
     return rounded(st.outside_errors(fx.outside(spark, d), _PERIODS, H), err=5)
 
