@@ -86,14 +86,16 @@ def with_intervals(forecasts: DataFrame, course_mse: DataFrame, mapping: DataFra
     return j.withColumns({"lo": lo, "hi": hi})
 
 
+NEWS = ["news", "news_own"]
 FEATURES = ["z0", "z1", "z2", "z12", "dz1", "dz3", "nb_dz1", "nb_dz3", "level", "ma", "nobs", "h", "moy"]
 
 
-def boosted_features(packed_logs: DataFrame, trajectory: DataFrame, access: DataFrame, near: DataFrame, first: int, last: int) -> DataFrame:
+def boosted_features(packed_logs: DataFrame, trajectory: DataFrame, access: DataFrame, near: DataFrame, first: int, last: int, news: DataFrame | None = None) -> DataFrame:
     """What the boosted model knows of a series at period t as seen from origin o >= t: (o,
     entity, category, t, FEATURES without h and moy; y, n, v, nf).  z are deviations from
     the course and the series' own mean up to o, nb_ the mean changes of the neighbours in
-    the category.  ``access``: (entity, ma); ``near``: (a, b) of neighbours."""
+    the category.  ``access``: (entity, ma); ``near``: (a, b) of neighbours; ``news``: (entity,
+    t, s, own) surprises, which give the columns NEWS."""
     seen = origins(packed_logs, first, last).join(F.broadcast(trajectory), ["category", "o"])  # categories x origins rows
     own = F.filter(F.zip_with("v", "n", lambda x, n: x - n), lambda x: x.isNotNull())
     level = F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(own), F.lit(0))
@@ -106,10 +108,14 @@ def boosted_features(packed_logs: DataFrame, trajectory: DataFrame, access: Data
     })
     other = cells.select(F.col("entity").alias("b"), "category", "o", "t", "dz1", "dz3")
     nb = near.select("a", "b").join(other, "b").groupBy(F.col("a").alias("entity"), "category", "o", "t").agg(F.avg("dz1").alias("nb_dz1"), F.avg("dz3").alias("nb_dz3"))
-    return cells.drop("z").join(nb, [*KEYS, "t"], "left").join(access.select("entity", "ma"), "entity", "left")
+    out = cells.drop("z").join(nb, [*KEYS, "t"], "left").join(access.select("entity", "ma"), "entity", "left")
+    if news is None:
+        return out
+    told = news.select("entity", "t", F.col("s").alias("news"), F.col("own").cast("double").alias("news_own"))
+    return out.join(told, ["entity", "t"], "left")
 
 
-def boosted(features: DataFrame, horizon: int, start_month: int, trees: int = 400) -> DataFrame:
+def boosted(features: DataFrame, horizon: int, start_month: int, trees: int = 400, name: str = "boosted") -> DataFrame:
     """Direct forecasts for all steps by gradient-boosted trees under absolute loss, one model
     per origin: (model, o, entity, category, h, f).  ``features``: of ``boosted_features``.
 
@@ -125,8 +131,9 @@ def boosted(features: DataFrame, horizon: int, start_month: int, trees: int = 40
     base = F.when(F.col("t") == F.col("o"), last + F.get("nf", F.col("h") - 1) - F.get("n", "o"))
     kinds = sorted(r["category"] for r in features.select("category").distinct().collect())  # one row per category
     cat = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("category"))
-    numbers = ["cat", *FEATURES, "label", "base"]
-    rows = steps.withColumns({"cat": cat, "base": base}).select(*KEYS, "t", "h", *[F.col(c).cast("float" if c in FEATURES else "double").alias(f"x_{c}") for c in numbers])
+    used = [*FEATURES, *[c for c in NEWS if c in features.columns]]
+    numbers = ["cat", *used, "label", "base"]
+    rows = steps.withColumns({"cat": cat, "base": base}).select(*KEYS, "t", "h", *[F.col(c).cast("float" if c in used else "double").alias(f"x_{c}") for c in numbers])
     # Rows of an origin come in one order, so that the subsamples of a run come again in the next.
     many = features.select("o").distinct().count()
     rows = rows.repartitionByRange(max(many, 1), "o").sortWithinPartitions("o", *SERIES, "t", "h")
@@ -134,7 +141,7 @@ def boosted(features: DataFrame, horizon: int, start_month: int, trees: int = 40
     def learned(parts: list[pd.DataFrame], ends: list[pd.DataFrame]) -> pd.DataFrame:
         column = lambda c: np.concatenate([p[f"x_{c}"].to_numpy() for p in parts])
         y = column("label")
-        x = np.stack([column("cat").astype(np.uint8), *[binned(column(c), ~np.isnan(y)) for c in FEATURES]], axis=1)
+        x = np.stack([column("cat").astype(np.uint8), *[binned(column(c), ~np.isnan(y)) for c in used]], axis=1)
         got, base = boost_trees(x, y, 1, trees), column("base")
         now = ~np.isnan(base)
         return pd.concat(ends).assign(f=np.exp(got[now] + base[now]))
@@ -154,4 +161,4 @@ def boosted(features: DataFrame, horizon: int, start_month: int, trees: int = 40
 
     kind = features.schema["entity"].dataType.simpleString()
     out = rows.mapInPandas(run, f"o int, entity {kind}, category string, h int, f double")
-    return out.select(F.lit("boosted").alias("model"), *KEYS, "h", "f")
+    return out.select(F.lit(name).alias("model"), *KEYS, "h", "f")

@@ -10,9 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veska.session import cut
+
 SERIES = ["entity", "category"]
 
 
+def dictionary(rows: DataFrame, column: str) -> DataFrame:
+    """(column, code): the distinct values in order, numbered from 0; nulls have no code.  The
+    numbers of a range follow those of the ranges before it, so no task orders all values."""
+    values = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    ranged = cut(values.repartitionByRange(column).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()  # one row per range
+    before, starts = 0, {}
+    for r in sorted(sizes, key=lambda r: r["_p"]):
+        starts[r["_p"]] = before
+        before += r["n"]
+    at = rows.sparkSession.createDataFrame(list(starts.items()), "_p int, _first bigint")
+    code = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1 + F.col("_first")
+    return ranged.join(F.broadcast(at), "_p").select(column, code.alias("code"))
+
+
 def build_panel(rows: DataFrame, entity: str, category: str, period: Column, value: str, arrived: str | None = None) -> DataFrame:
     """Long panel of raw observations: not positive or not finite values are missing, of
     several values of one cell the first to arrive stays (ties: the smallest)."""

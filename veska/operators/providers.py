@@ -33,14 +33,18 @@ def _prophet(contexts: list[list[float]], horizon: int) -> list[list[float]]:
     return out
 
 
-def _pretrained(module: str):
+def adapter(name: str, module: str) -> None:
+    """Register a model whose ``forecast(contexts, horizon)`` a module of the user's own
+    offers, a pretrained one say: contexts are series without gaps, one list of ``horizon``
+    levels each comes back.  The module is imported where the forecasts are made."""
+
     def predict(contexts: list[list[float]], horizon: int) -> list[list[float]]:
-        library = _need(module)
-        return library.forecast(contexts, horizon)  # an adapter module of the user's own
+        got = _need(module).forecast(contexts, horizon)
+        if len(got) != len(contexts) or any(len(f) != horizon for f in got):
+            raise ValueError(f"{module}.forecast must give {horizon} levels for each of the contexts")
+        return got
 
-    return predict
+    register(name, provider(name, predict))
 
 
-for _name, _module in (("timesfm", "timesfm_adapter"), ("chronos2", "chronos_adapter"), ("tirex", "tirex_adapter")):
-    register(_name, provider(_name, _pretrained(_module)))
 register("prophet", provider("prophet", _prophet))

@@ -167,6 +167,21 @@ def neighbour_lists(spark: SparkSession, d: str) -> DataFrame:
     return st.neighbour_lists(pn.neighbours(fx.edges(spark, d), 5)).select("a", F.concat_ws(",", "list").alias("list"))
 
 
+@query("dictionary_encode", "SELECT p_brand, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT p_brand FROM part)")
+def dictionary_encode(spark: SparkSession, d: str) -> DataFrame:
+    return pn.dictionary(table(spark, d, "part"), "p_brand")
+
+
+@query("gbm_news_forecast")
+def gbm_news_forecast(spark: SparkSession, d: str) -> DataFrame:
+    from veska.operators.local_model import boosted, boosted_features
+
+    near = pn.neighbours(fx.edges(spark, d), 10)
+    news = cut(eq._surprise(spark, d))
+    features = cut(boosted_features(pq._logs(spark, d), cut(pq._trajectory(spark, d)), fx.market_access(spark, d), near, FIRST, LAST, news))
+    return rounded(boosted(features, H, START_MONTH, name="boosted_news"), f=4)
+
+
 @query("sorted_union", """WITH a AS (SELECT user_id, event_type AS k FROM events WHERE month(ts) = 1 UNION SELECT user_id, 'big ' || event_type FROM events WHERE value > 90) SELECT user_id, string_agg(k, ',' ORDER BY k) AS kinds FROM a GROUP BY 1""")
 def sorted_union(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +30,17 @@ def cusum_stream(stream: DataFrame, source: str, order: str, value: str, slack:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         up, down = state.get if state.exists else (0.0, 0.0)
         df = pd.concat(list(batches)).sort_values("at", kind="stable")
-        out = []
-        for at, x in zip(df["at"], df["x"]):
-            if pd.notna(x):
-                up, down = max(0.0, up + x - slack), max(0.0, down - x - slack)
-            out.append((key[0], at, max(up, down)))
-        state.update((up, down))
-        yield pd.DataFrame(out, columns=["source", "at", "s"])
+        x, here = df["x"].to_numpy(float), df["x"].notna().to_numpy()
+
+        def held(start: float, steps: np.ndarray) -> np.ndarray:
+            """The sum kept at zero or above: the free sum less its lowest point below zero."""
+            free = start + np.cumsum(np.where(here, steps, 0.0))
+            return free - np.minimum(np.minimum.accumulate(free), 0.0)
+
+        ups, downs = held(up, x - slack), held(down, -x - slack)
+        if len(df):
+            state.update((float(ups[-1]), float(downs[-1])))
+        yield pd.DataFrame({"source": [key[0]] * len(df), "at": df["at"].to_numpy(), "s": np.maximum(ups, downs)})
 
     rows = stream.select(F.col(source).alias("source"), F.col(order).cast("double").alias("at"), F.col(value).cast("double").alias("x"))
     kind = rows.schema["source"].dataType.simpleString()
