@@ -99,7 +99,7 @@ _SH = f"{P24}, {OWN.replace('own AS', 'ow AS')}, {scaled('ow')}, {SHIFTS}"
 
 
 def _z(spark: SparkSession, d: str) -> DataFrame:
-    return dt.prepare(fx.panel24(spark, d), 8)
+    return dt.prepare(pq._panel(spark, d), 8)
 
 
 def _shifts(spark: SparkSession, d: str) -> DataFrame:

@@ -65,9 +65,10 @@ def gap_interpolation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paired(spark: SparkSession, d: str) -> DataFrame:
-    p = fx.packed24(spark, d)
+    panel = _panel(spark, d)
+    p = pn.packed(panel, T)
     both = fo.naive(p, FIRST, LAST, H).unionByName(fo.seasonal_naive(p, FIRST, LAST, H))
-    return ev.pairs(both, fx.panel24(spark, d))
+    return ev.pairs(both, panel)
 
 
 _METRICS = """SELECT model, h, coalesce(category, 'total') AS category, round(avg(abs(act-f)), 2) AS mae, round(1 - sum((act-f)**2)/(var_pop(act)*count(*)), 6) AS r2,
@@ -119,7 +120,7 @@ def two_way_unbalanced(spark: SparkSession, d: str) -> DataFrame:
 @query("variance_shares", f"""WITH {P24}, c AS (SELECT category, avg(y) OVER (PARTITION BY entity, category) AS r, avg(y) OVER (PARTITION BY category, t) AS k, avg(y) OVER (PARTITION BY category) AS g, y FROM p24),
   q AS (SELECT category, var_pop(r-g) AS a, var_pop(k-g) AS n, var_pop(y-r-k+g) AS e FROM c GROUP BY 1) SELECT category, round(a/(a+n+e), 6) AS level, round(n/(a+n+e), 6) AS common, round(e/(a+n+e), 6) AS residual FROM q""")
 def variance_shares(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pn.shares(fx.panel24(spark, d)), level=6, common=6, residual=6)
+    return rounded(pn.shares(_panel(spark, d)), level=6, common=6, residual=6)
 
 
 @query("yoy_growth", f"WITH {P24} SELECT a.category, round(avg(a.y-b.y), 6) AS growth, round(stddev_samp(a.y-b.y), 6) AS spread FROM p24 a JOIN p24 b ON a.entity=b.entity AND a.category=b.category AND b.t=a.t-12 GROUP BY 1")
@@ -139,8 +140,13 @@ def seasonal_factors(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_factors(spark, d), s=6)
 
 
-def _growth(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = dc.course(fx.panel24(spark, d), FIRST, LAST)
+def _panel(spark: SparkSession, d: str) -> DataFrame:
+    """The short panel, materialised: a query of many branches scans the lines once."""
+    return cut(fx.panel24(spark, d))
+
+
+def _growth(spark: SparkSession, d: str, p: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    c = dc.course(p or _panel(spark, d), FIRST, LAST)
     return c, dc.growth(c, fx.outside(spark, d), fx.mapping(spark), OFFSET)
 
 
@@ -149,8 +155,8 @@ def growth_g(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_growth(spark, d)[1], g=6)
 
 
-def _rules(spark: SparkSession, d: str) -> DataFrame:
-    c, g = _growth(spark, d)
+def _rules(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    c, g = _growth(spark, d, p)
     return dc.course_rules(c, g, _factors(spark, d), fx.mapping(spark), H, START_MONTH)
 
 
@@ -175,9 +181,10 @@ def rule_airline(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rule_combo")
 def rule_combo(spark: SparkSession, d: str) -> DataFrame:
-    c = dc.course(fx.panel24(spark, d), FIRST, LAST)
+    p = _panel(spark, d)
+    c = dc.course(p, FIRST, LAST)
     a = dc.airline_rule(c, fx.outside(spark, d), fx.mapping(spark), OFFSET, H)
-    r = _rules(spark, d).join(a, ["category", "o", "h"])
+    r = _rules(spark, d, p).join(a, ["category", "o", "h"])
     return r.select("category", "o", "h", F.round((F.col("snaive") + F.col("hybrid") + F.col("extlvl") + F.col("airline")) / 4, 6).alias("n"))
 
 
@@ -205,15 +212,17 @@ def rule_hybrid_automap(spark: SparkSession, d: str) -> DataFrame:
     return out.select("category", "o", "h", F.round("hybrid", 6).alias("n"))
 
 
-def _trajectory(spark: SparkSession, d: str, rule: str = "hybrid") -> DataFrame:
-    c = dc.course(fx.panel24(spark, d), FIRST, LAST)
+def _trajectory(spark: SparkSession, d: str, rule: str = "hybrid", p: DataFrame | None = None) -> DataFrame:
+    p = p or _panel(spark, d)
+    c = dc.course(p, FIRST, LAST)
     ordered = lambda t, x: F.transform(F.array_sort(F.collect_list(F.struct(t, x))), lambda s: s[x])
-    return c.groupBy("category", "o").agg(ordered("t", "n").alias("n")).join(_rules(spark, d).groupBy("category", "o").agg(ordered("h", rule).alias("nf")), ["category", "o"])
+    return c.groupBy("category", "o").agg(ordered("t", "n").alias("n")).join(_rules(spark, d, p).groupBy("category", "o").agg(ordered("h", rule).alias("nf")), ["category", "o"])
 
 
-def _panel_seasonal(spark: SparkSession, d: str) -> DataFrame:
-    logs = pn.packed(fx.panel24(spark, d).withColumn("v", F.log("v")), T)
-    return fo.panel_seasonal(logs, _trajectory(spark, d), FIRST, LAST, H)
+def _panel_seasonal(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    p = p or _panel(spark, d)
+    logs = pn.packed(p.withColumn("v", F.log("v")), T)
+    return fo.panel_seasonal(logs, _trajectory(spark, d, p=p), FIRST, LAST, H)
 
 
 _SEASONAL_FC = """aa AS (SELECT entity, category, o, avg(y) AS a FROM p24, os WHERE t <= o GROUP BY 1,2,3),
@@ -229,9 +238,10 @@ def panel_seasonal_forecast(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_panel_seasonal(spark, d), f=2)
 
 
-def _members(spark: SparkSession, d: str) -> DataFrame:
-    p = fx.packed24(spark, d)
-    return fo.naive(p, FIRST, LAST, H).unionByName(fo.seasonal_naive(p, FIRST, LAST, H)).unionByName(_panel_seasonal(spark, d))
+def _members(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    p = p or _panel(spark, d)
+    q = pn.packed(p, T)
+    return fo.naive(q, FIRST, LAST, H).unionByName(fo.seasonal_naive(q, FIRST, LAST, H)).unionByName(_panel_seasonal(spark, d, p))
 
 
 _ENSEMBLE = f"{_ALL}, {_SEASONAL_FC}, {FORECASTS}, al AS (SELECT * FROM fc UNION ALL SELECT * FROM ps)"
@@ -267,7 +277,7 @@ def random_walk_vs_oracle(spark: SparkSession, d: str) -> DataFrame:
 @query("regional_share", f"""WITH {P24}, q AS (SELECT category, substr(entity,7,1) AS region, t, y - avg(y) OVER (PARTITION BY entity, category) - avg(y) OVER (PARTITION BY category, t) + avg(y) OVER (PARTITION BY category) AS z FROM p24),
   r AS (SELECT *, avg(z) OVER (PARTITION BY category, region, t) AS r FROM q) SELECT category, round(var_pop(r)/var_pop(z), 6) AS share FROM r GROUP BY 1""")
 def regional_share(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(dc.regional(fx.panel24(spark, d), fx.regions(spark, d)), share=6)
+    return rounded(dc.regional(_panel(spark, d), fx.regions(spark, d)), share=6)
 
 
 @query("growth_regression", f"""WITH {OUTSIDE}, s AS (SELECT series, t, CASE WHEN count(x) OVER w = 12 THEN ln(sum(exp(x)) OVER w) END AS s FROM ext WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
@@ -305,7 +315,7 @@ _Z = f"WITH {P24}, {OWN}, {scaled('own')}"
 
 
 def _z(spark: SparkSession, d: str) -> DataFrame:
-    return dt.prepare(fx.panel24(spark, d), 8)
+    return dt.prepare(_panel(spark, d), 8)
 
 
 @query("normalised_panel", f"{_Z} SELECT entity, category, t, round(z, 4) AS z FROM z")
@@ -317,7 +327,7 @@ def normalised_panel(spark: SparkSession, d: str) -> DataFrame:
   nb AS (SELECT a AS entity, category, t, avg(l) AS nb FROM near JOIN oc ON oc.entity=near.b GROUP BY 1,2,3), rel AS (SELECT entity, category, t, l - nb AS l FROM oc JOIN nb USING (entity, category, t)),
   {scaled('rel')} SELECT entity, category, t, round(z, 4) AS z FROM z""")
 def normalised_relative(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(dt.prepare_relative(fx.panel24(spark, d), pn.neighbours(fx.edges(spark, d), 5), 8), z=4)
+    return rounded(dt.prepare_relative(_panel(spark, d), pn.neighbours(fx.edges(spark, d), 5), 8), z=4)
 
 
 @query("cusum_scores", f"""WITH RECURSIVE {P24}, {OWN}, {scaled('own')}, lg AS (SELECT *, lag(z) OVER (PARTITION BY entity, category ORDER BY t) AS b FROM z),
@@ -487,7 +497,8 @@ _RANKS = f"""{_ENSEMBLE}, pr AS (SELECT al.model, al.h, al.category, avg(abs(a.v
 
 
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
-    p = ev.pairs(_members(spark, d), fx.panel24(spark, d))
+    panel = _panel(spark, d)
+    p = ev.pairs(_members(spark, d, panel), panel)
     return cut(ev.model_ranks(p.groupBy("h", "category", "model").agg(F.avg(F.abs(F.col("y") - F.col("f"))).alias("s")), ["h", "category"], "s"))
 
 
@@ -524,7 +535,8 @@ def condorcet(spark: SparkSession, d: str) -> DataFrame:
 @query("common_series_losses", f"""{_ENSEMBLE}, pr AS (SELECT al.*, abs(a.v-al.f) AS loss, count(*) OVER (PARTITION BY al.o, al.entity, al.category, al.h) AS c FROM al JOIN p24 a ON a.entity=al.entity AND a.category=al.category AND a.t=al.o+al.h)
 SELECT entity, model, round(sum(loss), 4) AS s, count(*) AS n FROM pr WHERE c = 3 GROUP BY 1,2""")
 def common_series_losses(spark: SparkSession, d: str) -> DataFrame:
-    p = ev.pairs(_members(spark, d), fx.panel24(spark, d))
+    panel = _panel(spark, d)
+    p = ev.pairs(_members(spark, d, panel), panel)
     return rounded(ev.cluster_sums(ev.common_losses(p, ["naive", "seasonal_naive", "panel_seasonal"])), s=4)
 
 
@@ -552,7 +564,8 @@ def mcs(spark: SparkSession, d: str) -> DataFrame:
 
     from veska.operators.kernels import confidence_set
 
-    p = ev.pairs(_members(spark, d), fx.panel24(spark, d))
+    panel = _panel(spark, d)
+    p = ev.pairs(_members(spark, d, panel), panel)
     sums = cut(ev.cluster_sums(ev.common_losses(p, ["naive", "seasonal_naive", "panel_seasonal"])))
     total = {r["model"]: (r["s"], r["n"]) for r in sums.groupBy("model").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
     names = sorted(total)

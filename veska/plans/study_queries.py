@@ -304,7 +304,7 @@ _SHIFT = "SELECT * FROM (SELECT entity, category, t, avg(z) OVER (PARTITION BY e
 SELECT labels, channel, rate, round(threshold,4) AS threshold, round(count(*) FILTER (ok)/greatest(count(*) FILTER (alarm),1),6) AS precision, round(count(*) FILTER (caught)/greatest(count(*) FILTER (big),1),6) AS recall, count(*) FILTER (alarm) AS alarms, count(*) FILTER (big) AS shifts FROM kk GROUP BY 1,2,3,kk.threshold""")
 def labelled_study(spark: SparkSession, d: str) -> DataFrame:
     own = cut(pq._z(spark, d))
-    rel = cut(dt.prepare_relative(fx.panel24(spark, d), pn.neighbours(fx.edges(spark, d), 5), 8))
+    rel = cut(dt.prepare_relative(pq._panel(spark, d), pn.neighbours(fx.edges(spark, d), 5), 8))
     key = ["entity", "category", "t"]
     score = lambda z: z.select(*key, F.abs("z").alias("s"))
     mine = score(own).join(rel.select(*key), key)
@@ -361,7 +361,7 @@ SELECT h, round(avg(abs(v-f)),2) AS kept, round(avg(abs(v-g)),2) AS oracle, coun
 def regional_oracle(spark: SparkSession, d: str) -> DataFrame:
     p = cut(fx.panel24(spark, d))
     logs = pn.packed(p.withColumn("v", F.log("v")), T)
-    kept = fo.panel_seasonal(logs, pq._trajectory(spark, d), FIRST, LAST, H, rho=1.0)
+    kept = fo.panel_seasonal(logs, pq._trajectory(spark, d, p=p), FIRST, LAST, H, rho=1.0)
     common = dc.regional_course(p, fx.regions(spark, d))
     at = lambda name, t: common.select("entity", "category", F.col("t").alias(t), F.col("r").alias(name))
     j = ev.pairs(kept, p).withColumn("ot", F.col("o") + F.col("h")).join(at("r0", "o"), ["entity", "category", "o"]).join(at("r1", "ot"), ["entity", "category", "ot"])
