@@ -84,17 +84,21 @@ def forward_backward(emit: np.ndarray, length: np.ndarray, move: np.ndarray) ->
 
 def fit_moves(emit: np.ndarray, length: np.ndarray, tolerance: float = 0.01, most: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """State posteriors, what the neighbours say, and moves of each series, its moves learned
-    by expectation-maximisation drawn to MOVE; rounds end for all when no probability of a
-    move changes by more than ``tolerance``, at the latest after ``most``."""
+    by expectation-maximisation drawn to MOVE.  A series is done when no probability of its
+    moves changes by more than ``tolerance``, at the latest after ``most`` rounds, whatever
+    other series need, so its result does not hang on those beside it."""
     move = np.repeat(MOVE[None], len(emit), axis=0)
+    post, context = np.zeros_like(emit), np.zeros_like(emit)
+    left = np.arange(len(emit))
     for _ in range(most):
-        post, context, moves = forward_backward(emit, length, move)
+        if not len(left):
+            break
+        post[left], context[left], moves = forward_backward(emit[left], length[left], move[left])
         new = WEIGHT * MOVE + moves
         new /= new.sum(axis=2, keepdims=True)
-        change = float(np.abs(new - move).max(initial=0.0))
-        move = new
-        if change <= tolerance:
-            break
+        changed = np.abs(new - move[left]).max(axis=(1, 2)) > tolerance
+        move[left] = new
+        left = left[changed]
     return post, context, move
 
 
