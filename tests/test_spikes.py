@@ -123,3 +123,19 @@ def test_long_series(spark):
     rows += [(5000 + i, 2, "k", 401_000 + i, 100.0 + i, "x") for i in range(4)]
     got = {(r.id, r.flag) for r in implausible_readings(spark.createDataFrame(rows, SCHEMA), "id", ["src"], "src", F.col("t"), "v").collect()}
     assert got == {(1234, "spike"), *((i, "stuck") for i in range(2000, 2007))}
+
+
+def test_chance_repeats_among_many_readings_hide_no_spike(spark):
+    """A busy source of whole numbers, where some value comes again every month by chance."""
+    rnd = np.random.default_rng(7)
+    rows, bad = [], {}
+    for t in range(24):
+        for _ in range(150):
+            rows.append((len(rows), 1, "k", t, float(round(1000 * np.exp(rnd.normal(0, 0.05)))), "x"))
+        if t % 5 == 2:
+            bad[len(rows)] = "spike"
+            rows.append((len(rows), 1, "k", t, 3500.0 + t, "x"))
+    for s in range(2, 12):
+        rows += [(len(rows) + i, s, "k", t, float(round(1000 * np.exp(rnd.normal(0, 0.05)))), "x") for i, t in enumerate(range(24))]
+    got = {r.id: r.flag for r in implausible_readings(spark.createDataFrame(rows, SCHEMA), "id", ["src", "kind"], "kind", F.col("t"), "v").collect()}
+    assert {i: f for i, f in got.items() if f == "spike"} == bad

@@ -181,21 +181,33 @@ def judge(sid: np.ndarray, t: np.ndarray, bins: np.ndarray, n: np.ndarray, lo: n
     packed[owner, place] = middle - course[first]
     dev, noise = deviations(packed)
     # Equal values in successive readings: a bin of up to two readings holds lo and hi only.
-    e = np.unique(np.concatenate([np.stack([sid[ok].astype(float), v[ok], pos[ok].astype(float)]) for v in (lo, hi)], axis=1), axis=1)
+    both = np.concatenate([np.stack([sid[ok].astype(float), v[ok], pos[ok].astype(float)]) for v in (lo, hi)], axis=1)
+    e, of_cell = np.unique(both, axis=1, return_inverse=True)
     es, ev, ep = e[0].astype(int), e[1], e[2].astype(int)
     run = runs(es, ev, ep)
+    repeats = (run[of_cell.reshape(2, -1)] >= 2).any(axis=0)
+    # A period repeats its neighbour where most of its readings do; among many readings some do
+    # by chance, which says nothing of the others.
+    share = np.bincount(c, np.where(repeats, w, 0.0), minlength=len(first)) / np.maximum(np.bincount(c, w, minlength=len(first)), 1.0)
     equal = np.zeros((series, width), bool)
-    equal[es[run >= 2], ep[run >= 2]] = True
+    equal[owner, place] = share >= 0.5
     post, context, move = fit_moves(emissions(dev, noise[:, None], equal, np.isnan(packed)), length)
     spiky, held = post[..., 1] > 0.5, post[..., 2] > 0.5
     # Each bin against the level of its period without the spike, given the periods around.
     expect = middle - np.where(spiky[owner, place], dev[owner, place], 0.0)
     off = bins[ok] / BINS - expect[c]
     os, op = sid[ok], pos[ok]
-    odds = np.log(context[os, op] + 1e-300) + emissions(off, np.maximum(noise, spread)[os], equal[os, op], np.zeros(len(off), bool))
+    odds = np.log(context[os, op] + 1e-300) + emissions(off, np.maximum(noise, spread)[os], repeats, np.zeros(len(off), bool))
     rows = np.flatnonzero(ok)[(odds.argmax(axis=1) == 1) & (odds[:, 1] > np.logaddexp.reduce(odds[:, [0, 2, 3]], axis=1))]
     flags = [pd.DataFrame({"sid": sid[rows], "t": t[rows], "bin": bins[rows], "flag": "spike", "value": np.nan, "pos": pos[rows]})]
-    long = (run >= STUCK) & held[es, ep]
+    long = run >= STUCK
+    alone = equal[es, ep]
+    long &= held[es, ep] | ~alone
+    hidden = np.flatnonzero(long & ~alone)  # values among many readings: their own positions go through the chain
+    for k in np.split(hidden, np.flatnonzero((np.diff(es[hidden]) != 0) | (np.diff(ev[hidden]) != 0)) + 1):
+        if len(k):
+            same = (es == es[k[0]]) & (ev == ev[k[0]])
+            long[k] = np.isin(ep[k], held_positions(ep[same]))
     periods = t[first]
     start = np.cumsum(length) - length
     flags.append(pd.DataFrame({"sid": es[long], "t": periods[start[es[long]] + ep[long]], "bin": np.floor(np.log(ev[long]) * BINS + 0.5).astype(int), "flag": "stuck", "value": ev[long], "pos": ep[long]}))
