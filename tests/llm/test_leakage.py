@@ -150,3 +150,47 @@ def test_stock_is_counted_over_the_whole_list(spark, monkeypatch):
     for block in (20_000, 3):
         monkeypatch.setattr(lk, "BLOCK", block)
         assert {(r.doc_id, r.item_id) for r in run(spark, docs, shared).collect()} == want
+
+
+def test_passage_of_stock_phrases(spark, monkeypatch):
+    """A passage whose 3-grams are each in more than four texts is found if the whole is in
+    one; a phrase of many texts, changed or beside a question, is none."""
+    import veska.llm.leakage as lk
+
+    rnd = random.Random(10)
+    fill = lambda n: " ".join(f"fill{rnd.randrange(30_000)}" for _ in range(n))
+    passage = [f"part{j}" for j in range(14)]
+    texts = [f"{fill(20)} {' '.join(passage)} {fill(20)}"]
+    texts += [f"{fill(9)} {' '.join(passage[j : j + 3])} {fill(9)}" for j in range(12) for _ in range(5)]
+    lead, question = " ".join(f"lead{j}" for j in range(20)), " ".join(f"ask{j}" for j in range(8))
+    texts += [f"{lead} {fill(20)} {question}" for _ in range(6)]
+    changed = passage[:5] + ["other"] + passage[6:]
+    docs = [
+        (0, FILL + " ".join(passage) + " " + FILL),
+        (1, FILL + " ".join(changed) + " " + FILL),
+        (2, (" " + FILL).join(" ".join(passage[j : j + 3]) for j in range(0, 12, 3))),
+        (3, FILL + lead.replace("lead9", "other") + " " + FILL + question),
+        (4, f"{lead} {question} {FILL}"),
+    ]
+    for more, block in ((0, 20_000), (0, 30), (1500, 20_000)):  # with 1,500 more texts its words are those of few
+        monkeypatch.setattr(lk, "BLOCK", block)
+        its = list(enumerate(texts + [fill(15) for _ in range(more)]))
+        assert {(r.doc_id, r.item_id) for r in run(spark, docs, its).collect()} == {(0, 0), (1, 0)}, (more, block)
+
+
+def test_stock_phrases_are_measured_exactly(spark):
+    """The longest run from every word on that more than four texts have, against counting."""
+    import numpy as np
+
+    from veska.llm.leakage import STOCK, coded, phrases_of, stock_of
+
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice("abc") + "x" for _ in range(40)) for _ in range(12)] + ["ax bx " * 15 + t for t in "abcdef"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    stock, _ = stock_of(d, "text")
+    phrases = phrases_of(d, "text", stock)
+    words = [t.split() for t in texts]
+    having = lambda run: sum(any(w[k : k + len(run)] == run for k in range(len(w) - len(run) + 1)) for w in words)
+    for t, w in zip(texts, words):
+        want = [max((n for n in range(K, len(w) - i + 1) if having(w[i : i + n]) > STOCK), default=0) for i in range(len(w))]
+        assert phrases.lengths(coded(t), np.sort(stock)).tolist() == want
